@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, minhash, mix, secrets
+from . import chat, decontam, fingerprint, kneser, lines, minhash, mix, quality, secrets, tokens
 from .common import table
 
 
@@ -23,6 +23,23 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.sequences(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -44,5 +61,9 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_minhash, op8_chat, op9_fingerprint)}
+def op10_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.perplexities(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_minhash, op4_quality, op5_lines, op6_decontam, op7_tokens, op8_chat, op9_fingerprint, op10_kneser)}
 ORACLE_SQL: dict[str, str] = {}
