@@ -135,6 +135,14 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for batch in batches:
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            h = shingles(t.as_py(), n, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d, np.int64)), pa.array(h)], ["id", "h"])
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id and kept for every row of docs (doc_id, text).
 
@@ -182,8 +190,15 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     rest = buckets.where("c > 2").join(centres, "band").where("id <> a").join(found, F.col("id") == F.col("node"), "left")
     rest = rest.select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = rest.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    rest = rest.join(mixed, "band").join(traits, "id")
-    more = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & like("p", "q"))
+    rest = save(rest.join(mixed, "band").join(traits, "id"), "rest")
+    # A shingle that no other of these sets has is in no intersection, which bounds the similarity of copies that were edited apart.
+    ids = rest.select(F.col("id").alias("doc_id")).distinct()
+    single = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
+    single = single.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    rest = rest.join(single, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    most = F.least("p.shared", "q.shared")
+    bound = 100 * most >= percent * (F.col("p.n") + F.col("q.n") - most)
+    more = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & bound & like("p", "q"))
     more = verified(more.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
     if not more.isEmpty():
         found = components(links.union(more))
