@@ -1,4 +1,359 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries and the SQL that checks them.  Each runs over a whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import numeric
+from .functions.interpolation import METHODS
+from .operators import align, temporal
+from .operators.evaluate import numbers, robustness, satisfaction
+from .plans.ast import Always, ConstFloat, ConstInt, Eventually, ExprBuilder, Next, Until, VarBool, VarFloat, VarInt
+from .plans.parser import parse_expr
+from .sources.frames import TraceFrame
+from .types import dtype
+
+HOUR = 3_600 * 10**9
+DAY = 24 * HOUR
+FLAGSHIP = "G(error -> F[0,86400] purchase)"
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_E = "WITH e AS (SELECT user_id AS trace, epoch_us(ts) * 1000 AS t, value AS v, event_type AS k FROM events)"
+_C = "WITH c AS (SELECT conv_id AS trace, turn AS t, role FROM conversations)"
+_W = "WINDOW w AS (PARTITION BY trace ORDER BY t)"
+
+
+def registered(sql: str):
+    """Register the function under its name, and the SQL for it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, sf_dir: str) -> TraceFrame:
+    """One trace for each user; value, and a truth value for each kind of event."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kinds = {k: (F.col("event_type") == k, dtype.bool_) for k in ("click", "view", "purchase", "signup", "error")}
+    return TraceFrame(df, "user_id", "ts", {"value": ("value", dtype.float64), "cents": (F.floor(F.col("value") * 100).cast("long"), dtype.int64), **kinds}, aligned=True)
+
+
+def talks(spark: SparkSession, sf_dir: str) -> TraceFrame:
+    """One trace for each conversation; a truth value for each role, one second for each turn."""
+    df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return TraceFrame(df, "conv_id", "turn", {r: (F.col("role") == r, dtype.bool_) for r in ("user", "assistant", "system")}, aligned=True, unit=10**9)
+
+
+def _only(frame: TraceFrame, name: str) -> DataFrame:
+    """value where the event is of this kind."""
+    return frame.rows.where(F.col(frame.places[name])).select("trace", "t", F.col(frame.places["value"]).alias("v"))
+
+
+def _rounded(df: DataFrame, c: str = "v", places: int = 6) -> DataFrame:
+    return df.withColumn(c, F.round(c, places))
+
+
+V = VarFloat("value")
+
+# --- sources, metadata and lookup ---
+
+
+@registered(f"{_E} SELECT trace, min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM e GROUP BY trace")
+def bounds(spark, sf_dir):
+    return align.bounds(events(spark, sf_dir).table("value", dtype.float64)).select("trace", F.col("start").alias("start_t"), F.col("end").alias("end_t"), "n")
+
+
+@registered(f"{_E} SELECT trace, t FROM e")
+def time_points(spark, sf_dir):
+    return align.time_points(events(spark, sf_dir).table("value", dtype.float64))
+
+
+@registered(f"{_E} SELECT trace, t, v FROM e WHERE k = 'click'")
+def at_exact(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return align.at_exact(e.table("value", dtype.float64), align.time_points(_only(e, "click")))
+
+
+@registered(f"{_E} SELECT DISTINCT trace FROM e WHERE trace NOT IN (SELECT trace FROM e WHERE k = 'signup')")
+def is_empty(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.rows.select("trace").distinct().join(align.bounds(_only(e, "signup")), "trace", "left_anti")
+
+
+@registered("SELECT user_id AS trace, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY user_id")
+def checked_source(spark, sf_dir):
+    e = events(spark, sf_dir).checked()
+    return e.rows.groupBy("trace").agg(F.count("t").alias("n"), F.min(e.places["value"]).alias("low"), F.max(e.places["value"]).alias("high"))
+
+
+_AROUND = f"""{_E}, s AS (SELECT trace, t, v FROM e WHERE k = 'view'), q AS (SELECT DISTINCT trace, t + {HOUR} AS t FROM e WHERE k = 'click'),
+a AS (SELECT q.trace, q.t, s.t AS t1, s.v AS v1 FROM q ASOF LEFT JOIN s ON q.trace = s.trace AND q.t >= s.t),
+b AS (SELECT a.*, s.t AS t2, s.v AS v2 FROM a ASOF LEFT JOIN s ON a.trace = s.trace AND a.t <= s.t)
+SELECT trace, t, round(CASE WHEN t1 IS NULL THEN v2 WHEN t2 IS NULL THEN v1 WHEN t1 = t THEN v1 WHEN t2 = t THEN v2 ELSE {{}} END, 6) AS v FROM b WHERE t1 IS NOT NULL OR t2 IS NOT NULL"""
+
+
+def _interpolated(how: str):
+    def query(spark, sf_dir):
+        e = events(spark, sf_dir)
+        probes = _only(e, "click").select("trace", (F.col("t") + HOUR).alias("t"))
+        return _rounded(align.interpolate_at(_only(e, "view"), probes, METHODS[how]))
+
+    query.__name__ = f"interp_{how}"
+    return query
+
+
+for _how, _between in (("constant", "v1"), ("nearest", "CASE WHEN t2 - t > t - t1 THEN v1 ELSE v2 END"), ("linear", "v1 + (t - t1)::DOUBLE / (t2 - t1)::DOUBLE * (v2 - v1)")):
+    registered(_AROUND.format(_between))(_interpolated(_how))
+
+# --- alignment ---
+
+_TWO = f"""{_E}, a AS (SELECT trace, t FROM e WHERE k = 'view'), b AS (SELECT trace, t FROM e WHERE k = 'click'),
+d AS (SELECT trace, greatest(a0, b0) AS lo, least(a1, b1) AS hi FROM (SELECT trace, min(t) AS a0, max(t) AS a1 FROM a GROUP BY trace) JOIN (SELECT trace, min(t) AS b0, max(t) AS b1 FROM b GROUP BY trace) USING (trace))"""
+
+
+@registered(f"{_TWO} SELECT trace, t FROM (SELECT trace, t FROM a UNION SELECT trace, t FROM b) JOIN d USING (trace) WHERE t BETWEEN lo AND hi")
+def sync_points(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return align.sync_points(_only(e, "view"), _only(e, "click"))
+
+
+_FILL = f"""{_TWO}, g AS (SELECT trace, t FROM (SELECT trace, t FROM a UNION SELECT trace, t FROM b) JOIN d USING (trace) WHERE t BETWEEN lo AND hi),
+x AS (SELECT g.trace, g.t, e.v AS va FROM g ASOF JOIN (SELECT * FROM e WHERE k = 'view') e ON g.trace = e.trace AND g.t >= e.t),
+y AS (SELECT x.*, e.v AS vb FROM x ASOF JOIN (SELECT * FROM e WHERE k = 'click') e ON x.trace = e.trace AND x.t >= e.t)"""
+
+
+@registered(f"{_FILL} SELECT trace, t, round(va + vb, 6) AS v FROM y")
+def asof_add(spark, sf_dir):
+    e = events(spark, sf_dir)
+    out = align.binary(_only(e, "view"), _only(e, "click"), lambda a, b: a + b, None, METHODS["constant"], False)
+    return _rounded(out)
+
+
+@registered(f"{_FILL} SELECT trace, t, va < vb AS v FROM y")
+def signal_cmp(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return align.binary(_only(e, "view"), _only(e, "click"), lambda a, b: a < b, None, METHODS["constant"], True)
+
+
+@registered(
+    f"""{_E}, l AS (SELECT trace, t, v - 250 AS d, lag(t) OVER w AS t0, lag(v - 250) OVER w AS d0 FROM e {_W}),
+m AS (SELECT trace, t0 + CAST(round_even((t - t0)::DOUBLE * (d0 / (d0 - d)), 0) AS BIGINT) AS t, t0, t AS t1 FROM l WHERE d0 * d < 0)
+SELECT trace, t FROM m WHERE t > t0 AND t < t1 UNION ALL SELECT trace, t FROM e"""
+)
+def crossings(spark, sf_dir):
+    s = events(spark, sf_dir).table("value", dtype.float64)
+    return align.crossings(s, F.col("v"), F.lit(250.0), METHODS["linear"]).select("trace", "t")
+
+
+# --- arithmetic, comparisons, propositional operators ---
+
+
+def _number(name: str, expr, sql: str) -> None:
+    def query(spark, sf_dir):
+        return _rounded(numbers(expr, events(spark, sf_dir)))
+
+    query.__name__ = name
+    registered(f"{_E} SELECT trace, t, round({sql}, 6) AS v FROM e")(query)
+
+
+_cents = VarInt("cents")
+for _name, _expr, _sql in (
+    ("num_neg", -V, "-v"),
+    ("num_add", V + _cents + 1.5, "v + floor(v * 100) + 1.5"),
+    ("num_sub", V - _cents, "v - floor(v * 100)"),
+    ("num_mul", V * 2.0 * V, "v * 2.0::DOUBLE * v"),
+    ("num_div", V / (_cents + 1), "v / (floor(v * 100) + 1)"),
+    ("num_abs", abs(V - 250.0), "abs(v - 250.0::DOUBLE)"),
+    ("num_literals", V + ConstFloat(0.5) + ConstInt(3), "v + 0.5::DOUBLE + 3"),
+):
+    _number(_name, _expr, _sql)
+
+
+def _signal(name: str, f, sql: str) -> None:
+    def query(spark, sf_dir):
+        return align.unary(events(spark, sf_dir).table("value", dtype.float64), f, None)
+
+    query.__name__ = name
+    registered(f"{_E} SELECT trace, t, {sql} AS v FROM e")(query)
+
+
+_signal("num_pow", lambda c: F.round(F.pow(c, F.lit(2.0)), 6), "round(pow(v, 2), 6)")
+_signal("num_cast", lambda c: numeric.cast(c, dtype.int64), "CAST(trunc(v) AS BIGINT)")
+_signal("num_div_zero", lambda c: numeric.divide(c, F.lit(0.0)) > 1e300, "v > 0")
+
+
+def _formula(name: str, spec, sql: str, **how) -> None:
+    def query(spark, sf_dir):
+        return _rounded(robustness(spec, events(spark, sf_dir), "constant", **how), "rob")
+
+    query.__name__ = name
+    registered(f"{_E} SELECT trace, t, round({sql}, 6) AS rob FROM e")(query)
+
+
+_p, _q = "(v - 200)", "(CASE WHEN k = 'error' THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END)"
+_P, _Q = V > 200.0, VarBool("error")
+_B = ExprBuilder()
+for _name, _spec, _sql in (
+    ("cmp_lt", V < 400.0, "400 - v"),
+    ("cmp_le", V <= 400.0, "400 - v"),
+    ("cmp_gt", V > 400.0, "v - 400"),
+    ("cmp_ge", V >= 400.0, "v - 400"),
+    ("cmp_eq", V == 400.0, "-abs(v - 400)"),
+    ("cmp_ne", V != 400.0, "abs(v - 400)"),
+    ("bool_not", ~_P, f"-{_p}"),
+    ("bool_and", _P & _Q, f"least({_p}, {_q})"),
+    ("bool_or", _P | _Q, f"greatest({_p}, {_q})"),
+    ("bool_implies", _B.implies(_P, _Q), f"greatest(-{_p}, {_q})"),
+    ("bool_equiv", _B.equiv(_P, _Q), f"greatest(least({_p}, {_q}), least(-{_p}, -{_q}))"),
+    ("bool_xor", _B.xor(_P, _Q), f"-greatest(least({_p}, {_q}), least(-{_p}, -{_q}))"),
+    ("bool_literal", _P & True, _p),
+):
+    _formula(_name, _spec, _sql)
+_formula("cmp_ne_observed", V != 400.0, "-abs(v - 400)", mode="observed")
+
+
+@registered(f"{_E} SELECT trace, t, NOT (k = 'error') AND (k = 'view' OR v >= 100) AS sat FROM e")
+def bool_signals(spark, sf_dir):
+    return satisfaction(~VarBool("error") & (VarBool("view") | (V >= 100.0)), events(spark, sf_dir), "constant")
+
+
+# --- temporal operators ---
+
+
+@registered(f"{_C} SELECT trace, t * 1000000000 AS t, sat FROM (SELECT trace, t, lead(role = 'assistant', 1) OVER w AS sat FROM c {_W}) WHERE sat IS NOT NULL")
+def next_(spark, sf_dir):
+    return satisfaction(Next(VarBool("assistant")), talks(spark, sf_dir), "constant")
+
+
+@registered(f"{_C} SELECT trace, t * 1000000000 AS t, sat FROM (SELECT trace, t, lead(role = 'user', 2) OVER w AS sat FROM c {_W}) WHERE sat IS NOT NULL")
+def oracle_k(spark, sf_dir):
+    return satisfaction(_B.oracle(VarBool("user"), 2), talks(spark, sf_dir), "constant", grid="samples")
+
+
+def _window(name: str, spec, sql: str, grid: str = "samples") -> None:
+    def query(spark, sf_dir):
+        return _rounded(robustness(spec, events(spark, sf_dir), "constant", grid=grid), "rob")
+
+    query.__name__ = name
+    registered(f"{_E} SELECT * FROM (SELECT trace, t, round({sql}, 6) AS rob FROM e) WHERE rob IS NOT NULL")(query)
+
+
+def _over(f: str, v: str, low: str, high: str) -> str:
+    return f"{f}({v}) OVER (PARTITION BY trace ORDER BY t RANGE BETWEEN {low} AND {high})"
+
+
+_END, _NOW = "UNBOUNDED FOLLOWING", "CURRENT ROW"
+_window("always", Always(V < 400.0), _over("min", "400 - v", _NOW, _END))
+_window("eventually", Eventually(V < 100.0), _over("max", "100 - v", _NOW, _END))
+_window("always_timed", Always(V < 400.0, interval=(0, 7200)), _over("min", "400 - v", _NOW, f"{2 * HOUR} FOLLOWING"))
+_window("eventually_timed", Eventually(V > 400.0, interval=(3600, 86400)), _over("max", "v - 400", f"{HOUR} FOLLOWING", f"{DAY} FOLLOWING"))
+_window("eventually_from", Eventually(V > 400.0, interval=(86400, None)), _over("max", "v - 400", f"{DAY} FOLLOWING", _END))
+_window("always_exact", Always(V < 400.0), _over("min", "400 - v", _NOW, _END), grid="exact")
+
+
+@registered(f"{_E} SELECT trace, t, round({_over('max', 'v - 400', _NOW, f'{DAY} FOLLOWING')}, 6) AS rob FROM e")
+def eventually_exact(spark, sf_dir):
+    """Windows over held values, with the times at which samples enter and leave, read at the samples."""
+    e = events(spark, sf_dir)
+    full = robustness(Eventually(V > 400.0, interval=(0, 86400)), e, "constant")
+    return _rounded(full.join(e.rows.select("trace", "t"), ["trace", "t"]), "rob")
+
+
+_UNTIL = f"""{_E}, f AS (SELECT trace, t, 300 - v AS a, CASE WHEN k = 'purchase' THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS b FROM e),
+j AS (SELECT x.trace, x.t, y.b, min(y.a) OVER (PARTITION BY x.trace, x.t ORDER BY y.t) AS m FROM f x JOIN f y ON x.trace = y.trace AND y.t >= x.t),
+z AS (SELECT trace, t, max(least(m, b)) AS z FROM j GROUP BY trace, t)"""
+_SPEC = (V < 300.0, VarBool("purchase"))
+
+
+@registered(f"{_UNTIL} SELECT trace, t, round(z, 6) AS rob FROM z")
+def until(spark, sf_dir):
+    return _rounded(robustness(Until(*_SPEC), events(spark, sf_dir), "constant", grid="samples"), "rob")
+
+
+@registered(f"{_UNTIL} SELECT trace, t, round(z, 6) AS rob FROM z")
+def until_exact(spark, sf_dir):
+    return _rounded(robustness(Until(*_SPEC), events(spark, sf_dir), "constant"), "rob")
+
+
+@registered(
+    f"""{_UNTIL}, s AS (SELECT trace, t, {_over('max', 'b', f'{HOUR} FOLLOWING', f'{DAY} FOLLOWING')} AS soon FROM f),
+g AS (SELECT trace, t, {_over('min', 'z', _NOW, f'{HOUR} FOLLOWING')} AS g FROM z)
+SELECT trace, t, round(least(soon, g), 6) AS rob FROM s JOIN g USING (trace, t)"""
+)
+def until_timed(spark, sf_dir):
+    return _rounded(robustness(Until(*_SPEC, interval=(3600, 86400)), events(spark, sf_dir), "constant", grid="samples"), "rob")
+
+
+@registered(f"{_E} SELECT trace, t + {HOUR} AS t, v FROM e")
+def shift_right(spark, sf_dir):
+    return temporal.shift_right(events(spark, sf_dir).table("value", dtype.float64), HOUR)
+
+
+@registered(
+    f"""{_E}, r AS (SELECT trace, t - min(t) OVER (PARTITION BY trace) AS t, v FROM e), l AS (SELECT *, lag(t) OVER w AS t0, lag(v) OVER w AS v0 FROM r {_W})
+SELECT trace, t - {DAY} AS t, round(v, 6) AS v FROM r WHERE t >= {DAY} UNION ALL
+SELECT trace, 0 AS t, round(v0 + ({DAY} - t0)::DOUBLE / (t - t0)::DOUBLE * (v - v0), 6) AS v FROM l WHERE t0 < {DAY} AND t > {DAY}"""
+)
+def shift_left(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = events(spark, sf_dir).table("value", dtype.float64)
+    rebased = s.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy("trace")))
+    return _rounded(temporal.shift_left(rebased, DAY, METHODS["linear"]))
+
+
+# --- whole formulas ---
+
+
+@registered(f"{_E} SELECT trace, t, {_over('min', '400 - v', _NOW, f'{2 * HOUR} FOLLOWING')} >= 0 AS sat FROM e")
+def bool_semantics(spark, sf_dir):
+    return satisfaction(Always(V <= 400.0, interval=(0, 7200)), events(spark, sf_dir), "constant", grid="samples")
+
+
+@registered(
+    f"""{_E}, x AS (SELECT trace, t, {_over('max', '150 - v', _NOW, f'{DAY} FOLLOWING')} AS f, v FROM e)
+SELECT trace, t, round({_over('min', 'greatest(350 - v, f)', _NOW, _END)}, 6) AS rob FROM x"""
+)
+def robust_semantics(spark, sf_dir):
+    spec = Always(_B.implies(V > 350.0, Eventually(V < 150.0, interval=(0, 86400))))
+    return _rounded(robustness(spec, events(spark, sf_dir), "constant", grid="samples"), "rob")
+
+
+_FLAG = f"""{_E}, x AS (SELECT trace, t, k, {_over('bool_or', "k = 'purchase'", _NOW, f'{DAY} FOLLOWING')} AS f FROM e)
+SELECT trace, t, {_over('bool_and', "k <> 'error' OR f", _NOW, _END)} AS sat FROM x"""
+
+
+@registered(_FLAG)
+def parsed_spec(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@registered(_FLAG)
+def parsed_spec_exact(spark, sf_dir):
+    """The flagship followed between samples too, read at the samples."""
+    e = events(spark, sf_dir)
+    full = satisfaction(FLAGSHIP, e, "constant")
+    return full.join(e.rows.select("trace", "t"), ["trace", "t"])
+
+
+@registered(
+    f"""WITH y AS (SELECT user_id, ts, epoch_us(ts) * 1000 AS t, event_type AS k FROM events), x AS (SELECT user_id AS trace, t, k, bool_or(k = 'purchase') OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN CURRENT ROW AND {DAY} FOLLOWING) AS f FROM y)
+SELECT trace, bool_and(k <> 'error' OR f) AS sat, count(*) AS n FROM x GROUP BY trace"""
+)
+def verdict_by_trace(spark, sf_dir):
+    """Whether each whole trace satisfies the flagship formula: its value at the first time."""
+    out = flagship(spark, sf_dir)
+    return out.groupBy("trace").agg(F.min_by("sat", "t").alias("sat"), F.count("*").alias("n"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error is followed by a purchase of the same user within a day."""
+    return satisfaction(parse_expr(FLAGSHIP), events(spark, sf_dir), "constant", grid="samples")
+
+
