@@ -80,10 +80,11 @@ def at_exact(spark, sf_dir):
     return align.at_exact(e.table("value", dtype.float64), align.time_points(_only(e, "click")))
 
 
-@registered(f"{_E} SELECT DISTINCT trace FROM e WHERE trace NOT IN (SELECT trace FROM e WHERE k = 'signup')")
+@registered(f"{_E} SELECT trace, count(*) FILTER (k = 'signup') = 0 AS no_signups FROM e GROUP BY trace")
 def is_empty(spark, sf_dir):
     e = events(spark, sf_dir)
-    return e.rows.select("trace").distinct().join(align.bounds(_only(e, "signup")), "trace", "left_anti")
+    found = e.rows.select("trace").distinct().join(align.bounds(_only(e, "signup")), "trace", "left")
+    return found.select("trace", F.col("n").isNull().alias("no_signups"))
 
 
 @registered("SELECT user_id AS trace, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY user_id")

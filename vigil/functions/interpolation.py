@@ -57,16 +57,16 @@ class Linear(Method):
 
     def between(self, p, q, t):
         a, b = p["v"].cast("double"), q["v"].cast("double")
-        x = (t - p["t"]).cast("double") / (q["t"] - p["t"]).cast("double")
+        x = (t - p["t"]).cast("double") / F.nullif((q["t"] - p["t"]).cast("double"), F.lit(0.0))
         # The form that is exact at the ends and monotone between them.
         line = F.when((a <= 0) & (b >= 0) | (a >= 0) & (b <= 0), x * b + (1 - x) * a).when(x == 1, b).otherwise(a + x * (b - a))
         return F.when(finite(a) & finite(b), line).otherwise(a)
 
     def meeting(self, t1, t2, d1, d2):
         apart = (d1 < 0) & (d2 > 0) | (d1 > 0) & (d2 < 0)
-        x = d1 / (d1 - d2)
+        x = d1 / F.nullif(d1 - d2, F.lit(0.0))
         t = t1 + F.rint((t2 - t1).cast("double") * x).cast("long")
-        return F.when(apart & finite(d1) & finite(d2) & (F.abs(d1 - d2) / (t2 - t1).cast("double") * NS > 1e-10) & (t > t1) & (t < t2), t)
+        return F.when(apart & finite(d1) & finite(d2) & (F.abs(d1 - d2) * NS > 1e-10 * (t2 - t1).cast("double")) & (t > t1) & (t < t2), t)
 
 
 class Held(Constant):
