@@ -60,6 +60,11 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once per row.  A column that a lambda refers to can be computed anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

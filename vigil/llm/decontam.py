@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, save
+from .common import BLANKS, let, save
 
 WIDTH = 5
 #: Bits that the fingerprints of a window and an item may differ in; similarity 0.8 differs in 10 on average, 24 is five deviations more.
@@ -35,12 +35,12 @@ def _positions(n: Column, width: int) -> Column:
 
 def _shingles(w: Column, n: Column, width: int) -> Column:
     """Shingles as strings; the nth occurrence of one is marked as such, so that sets compare weights."""
-    raw = F.sort_array(F.transform(_positions(n, width), lambda i: F.concat_ws(" ", *_at(w, i, width))))
-    return F.transform(raw, lambda s, i: F.concat_ws("\n", s, (i - F.array_position(raw, s)).cast("string")))
+    sorted_ = F.sort_array(F.transform(_positions(n, width), lambda i: F.concat_ws(" ", *_at(w, i, width))))
+    return let(sorted_, lambda raw: F.transform(raw, lambda s, i: F.concat_ws("\n", s, (i - F.array_position(raw, s)).cast("string"))))
 
 
-def _simhash(h: Column, planes: int) -> Column:
-    """The bits that more than half of the hashes have.  Counts of all 64 bits are kept at once, one long for each binary digit."""
+def _simhash(h: Column, n: Column, planes: int) -> Column:
+    """The bits that more than half of the n hashes have.  Counts of all 64 bits are kept at once, one long for each binary digit."""
     names = [f"p{i}" for i in range(planes)]
     zero = F.struct(*[F.lit(0).cast("long").alias(p) for p in names])
 
@@ -51,7 +51,7 @@ def _simhash(h: Column, planes: int) -> Column:
             carry = acc[p].bitwiseAND(carry)
         return F.struct(*out)
 
-    least = F.floor(F.size(h) / 2).cast("long") + 1
+    least = F.shiftright(n, 1).cast("long") + 1
 
     def majority(acc: Column) -> Column:
         above, equal = F.lit(0).cast("long"), F.lit(-1).cast("long")
@@ -94,8 +94,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
         own = items.where(F.col("width") == width).withColumn("m", F.col("n") - width + 1)
         # 100 o >= p (m + k - o), m and k shingles of item and window: o >= p (m + k) / (100 + p).
         known = own.select("item_id", "n", "m", F.explode(F.array_distinct(_hashes(F.col("w"), F.col("n"), width))).alias("hash"))
-        texts = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-        seen = texts.where(F.col("size") >= width).select("doc_id", "row", "size", F.posexplode(_hashes(F.col("w"), F.col("size"), width)).alias("pos", "hash"))
+        hashes = let(words(F.col("text")), lambda w: _hashes(w, F.size(w), width))  # noqa: B023
+        texts = docs.select("doc_id", F.xxhash64("text").alias("row"), hashes.alias("hashes")).withColumn("size", F.size("hashes") + width - 1)
+        # The outer forms keep Spark from computing the arrays once more to filter empty ones.
+        seen = texts.select("doc_id", "row", "size", F.posexplode_outer("hashes").alias("pos", "hash"))
         hits = seen.join(broad(known), "hash").groupBy("doc_id", "row", "size", "item_id", "n", "m").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
         length = F.least("n", "size")
         k = length - width + 1
@@ -107,10 +109,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
         asked = windows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length", "n")).alias("windows"))
         chosen = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
         found = chosen.alias("d").join(asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.row") == F.col("a.row")))
-        found = found.select("d.doc_id", words(F.col("text")).alias("w"), "windows").select("doc_id", "w", F.explode("windows").alias("x"))
-        part = F.slice("w", F.col("x.start") + 1, F.col("x.length"))
-        found = found.select("doc_id", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.col("x.length").alias("length"), part.alias("w"))
-        prints = lambda df: df.withColumn("print", _simhash(_hashes(F.col("w"), F.size("w"), width), planes))  # noqa: E731, B023
+        cut = lambda w: F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["length"].alias("length"), F.slice(w, x["start"] + 1, x["length"]).alias("w")))
+        found = found.select("d.doc_id", F.explode_outer(let(words(F.col("text")), cut)).alias("x")).select("doc_id", "x.*")
+        prints = lambda df: df.withColumn("print", _simhash(_hashes(F.col("w"), F.size("w"), width), F.size("w") - width + 1, planes))  # noqa: E731, B023
         found = save(prints(found), "windows")
         blocks = lambda values: F.explode(F.array(*[F.struct(F.lit(b).alias("block"), v.alias("value")) for b, v in values]))
         near = [(b, _block(F.col("print"), b).bitwiseXOR(F.lit(x))) for b, (low, high) in enumerate(_CUTS) for x in (0, *(1 << i for i in range(high - low)))]
