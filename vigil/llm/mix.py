@@ -75,14 +75,21 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 1
             left -= k * int(sizes[i])
     else:
         left = budget
-    unit = max(1, -(-left // (64 * window)))
-    room = left // unit
+    for i in order:
+        if left <= 64 * window:
+            break
+        k = min(int(counts[i] - taken[i]), left // int(sizes[i]))
+        taken[i] += k
+        left -= k * int(sizes[i])
+    if left > 64 * window:
+        return taken  # every document left is longer than that
+    room = left
     first = np.full(room + 1, -1, np.int64)
     reach = np.zeros(room + 1, bool)
     reach[0] = True
     items: list[tuple[int, int, int]] = []
     for i in order:
-        size, have, k = -(-int(sizes[i]) // unit), min(int(counts[i] - taken[i]), left // int(sizes[i])), 1
+        size, have, k = int(sizes[i]), min(int(counts[i] - taken[i]), left // int(sizes[i])), 1
         while have > 0 and not reach[room]:
             k = min(k, have)
             step = k * size

@@ -66,4 +66,50 @@ def op10_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_minhash, op4_quality, op5_lines, op6_decontam, op7_tokens, op8_chat, op9_fingerprint, op10_kneser)}
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = r"[\x20\x09-\x0D]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _secret_sql() -> str:
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate(secrets.DETECTORS.items()):
+        p = _quoted(pattern)
+        found.append(
+            f"""SELECT doc_id, owner, repository, {rank} AS rank, '{kind}' AS kind, pos AS start, pos + length(m) AS "end", secret FROM (
+SELECT doc_id, owner, repository, ms[i] AS m, ss[i] AS secret, list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda g: length(g))), 0) AS pos FROM (
+SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, owner, repository, regexp_extract_all(text, {p}, 0) AS ms, regexp_extract_all(text, {p}, {group}) AS ss, string_split_regex(text, {p}) AS gaps FROM d))) WHERE length(secret) >= {least}"""
+        )
+    joined = lambda test: f"""coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) FILTER ({test}), '')"""
+    return f"""WITH d AS (SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+h AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM f GROUP BY secret),
+g AS (SELECT f.*, owners > 2 OR repositories > 4 AS wide, len(list_distinct(string_split(secret, ''))) >= 10 AND regexp_matches(secret, '[0-9]') AS random FROM f JOIN h USING (secret))
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+sha256({joined("rank < 3")}) AS base_sha256, {joined("rank >= 0")} AS spans, count(*) FILTER (wide) AS n_copied, count(*) FILTER (NOT wide AND random) AS n_live, {joined("NOT wide AND random")} AS live_spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id"""
+
+
+_MINHASH_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '{_BLANK}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, o, p.n AS m, q.n AS k FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+t AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+e AS (SELECT x, min(y) AS y FROM l WHERE o = m AND o = k GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(e.y, doc_id)) AS class_id, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN t ON t.x = doc_id LEFT JOIN e ON e.x = doc_id"""
+
+_SAID = "'</s>[INST] ok [/INST]'"
+_CONTROL = r"[<\[]\\*(/?s>|/?INST\]|\|[A-Za-z_]+\|>|</?SYS>>)"
+_CHAT_SQL = f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+sum({len(chat.TURN) + len(chat.END) + 1} + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}'))) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM a"""
+
+#: The others rest on hashes, permutations, dynamic programming or fitted models; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_secrets": _secret_sql(), "op3_minhash": _MINHASH_SQL, "op8_chat": _CHAT_SQL}
