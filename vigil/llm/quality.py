@@ -16,90 +16,97 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slim
 
-BITS = 18
-#: Labelled documents that the classifier is fitted on at most (those of least hash), and how many must share a feature.
-SAMPLE, LEAST = 8_000, 4
+#: Labelled documents that the classifier is fitted on at most (those of least hash); documents that must share a feature; deviations by which a feature has to
+#: stand out between the labels; features that a head may use, those that stand out most.
+SAMPLE, LEAST, DEVIATIONS, FEATURES = 8_000, 4, 5.0, 20_000
 #: Bounds of the evidence and of what a site may add to it, in logits.
 STRONG, SITE = 12.0, 2.0
 HEADS = ("low", "toxic")
-MASK = (1 << BITS) - 1
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 class _Index(dict):
-    """Word -> places of its features."""
+    """Word -> hashes of its features, or, with known, the numbers of those that are known."""
+
+    def __init__(self, known: dict[int, int] | None = None):
+        super().__init__()
+        self.known = known
+
+    def of(self, raw: bytes, seed: int) -> tuple[int, ...]:
+        h = _signed(xxhash.xxh3_64_intdigest(raw, seed))
+        return (h,) if self.known is None else (self.known[h],) if h in self.known else ()
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > 200_000:
             self.clear()
-        out = self[word] = (xxhash.xxh3_64_intdigest(word) & MASK, xxhash.xxh3_64_intdigest(word[:5], 1) & MASK)
+        out = self[word] = self.of(word, 0) + self.of(word[:5], 1)
         return out
 
 
-def features(text: str | None, index: _Index) -> np.ndarray:
-    """Sorted places of the binary features of a whole text."""
+def features(text: str | None, index: _Index) -> list[int]:
+    """The binary features of a whole text: its words, their starts, and its layout."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     words = raw.split()
     distinct = set(words)
-    found = {p for w in distinct for p in index[w]}
+    found = {f for w in distinct for f in index[w]}
     n = max(1, len(words))
     marks = sum(map(raw.count, (b"|", b"%", b"$", b"#", b"&", b"*", b"{", b"}", b"<", b">", b"=", b"@")))
     stops = sum(map(raw.count, (b".", b"!", b"?")))
-    most = max((words.count(w) for w in list(distinct)[:1]), default=0) if len(distinct) < 3 else 0
-    layout = (
-        ("empty", not words), ("marks", min(9, int(20 * marks / n))), ("varied", int(9 * len(distinct) / n)), ("few", len(distinct) < 3 <= len(words)), ("long", min(12, len(raw) // n // 2)),
-        ("stops", min(9, int(60 * stops / n))), ("lines", min(9, int(40 * raw.count(b"\n") / n))), ("size", min(14, n.bit_length())), ("most", most > 5), ("varied, size", (int(9 * len(distinct) / n), min(14, n.bit_length()))),
-    )
-    found |= {xxhash.xxh3_64_intdigest(f"{k}={v}", 2) & MASK for k, v in layout}
-    return np.fromiter(found, np.int32, len(found))
+    varied, size = int(9 * len(distinct) / n), min(14, n.bit_length())
+    layout = {
+        "empty": not words, "marks": min(9, int(20 * marks / n)), "varied": varied, "few": len(distinct) < 3 <= len(words), "long": min(12, len(raw) // n // 2),
+        "stops": min(9, int(60 * stops / n)), "lines": min(9, int(40 * raw.count(b"\n") / n)), "size": size, "varied, size": (varied, size),
+    }
+    found.update(f for k, v in layout.items() for f in index.of(f"{k}={v}".encode(), 2))
+    return sorted(found)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = _Index()
     for batch in batches:
-        rows = [features(t.as_py(), index).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array(rows, pa.binary())], ["doc_id", "low", "toxic", "places"])
+        rows = [features(t.as_py(), index) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "low", "toxic", "features"])
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 120, ridge: float = 0.3) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic regression on binary features, by Adam on the whole sample."""
-    w = np.zeros((1 << BITS) + 1)
-    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.0
+def _telling(sample: DataFrame, head: str) -> list[int]:
+    """The features whose share of positive documents stands out from the sample's."""
+    base = sample.agg(F.count("*").alias("n"), F.avg(head).alias("p")).first()
+    p = base["p"] or 0.0
+    if not 0 < p < 1:
+        return []
+    counts = sample.select(head, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum(head).alias("k")).where(F.col("n") >= LEAST)
+    z = F.abs(F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
+    return [r["f"] for r in counts.withColumn("z", z).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
+
+
+def _fit(rows: list[list[int]], size: int, y: np.ndarray, steps: int = 300, ridge: float = 0.02) -> np.ndarray:
+    """Weights of so many features and a bias: logistic regression on the whole sample, by Adam."""
     if not 0 < y.sum() < len(y):
-        w[-1] = -STRONG if not len(y) or y.sum() == 0 else STRONG
-        return w
-    w[-1] = np.log(base / (1 - base))
-    flat = np.concatenate(rows)
-    common = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= LEAST)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[common] = np.arange(len(common))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used = place[flat] >= 0
-    col, row = place[flat[used]], owner[used]
-    v, b = np.zeros(len(common)), w[-1]
-    m, s, mb, sb = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
+        return np.append(np.zeros(size), STRONG if len(y) and y.all() else -STRONG)
+    row, col = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.array([f for r in rows for f in r], np.int64)
+    v, b = np.zeros(size), np.log(y.mean() / (1 - y.mean()))
+    m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(row, v[col], len(rows)) + b
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, err[row], len(v)) + ridge * v
-        gb = err.sum()
+        g, gb = np.bincount(col, err[row], size) + ridge * v, err.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        rate, c1, c2 = 0.08 * (1 - t / (steps + 1)) + 0.005, 1 - 0.9**t, 1 - 0.99**t
+        rate, c1, c2 = 0.1 * (1 - t / (steps + 1)) + 0.005, 1 - 0.9**t, 1 - 0.99**t
         v -= rate * (m / c1) / (np.sqrt(s / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
-    w[common], w[-1] = v, b
-    return w
+    return np.append(v, b)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    index = _Index()
+def _scored(batches: Iterator[pa.RecordBatch], known: dict[int, int], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    index = _Index(known)
     for batch in batches:
-        out = []
-        for t in batch.column("text"):
-            z = weights[features(t.as_py(), index)].sum(axis=0) + weights[-1]
-            out.append(np.clip(z, -STRONG, STRONG))
-        z = np.array(out, np.float64).reshape(-1, len(HEADS))
+        z = np.array([weights[features(t.as_py(), index)].sum(axis=0) for t in batch.column("text")], np.float64).reshape(-1, len(HEADS)) + weights[-1]
+        z = np.clip(z, -STRONG, STRONG)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *(pa.array(z[:, i]) for i in range(len(HEADS)))], ["doc_id", "host", "path", *(f"z_{h}" for h in HEADS)])
 
 
@@ -132,16 +139,23 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     path is a site of its own.  Without labels of both kinds a head finds nothing, so all are kept.  Rows that repeat are scored each.
     Other columns are not looked at.  Groups are summed before they are joined, and a hot host is split by its paths and by partial sums.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), "text")
+    docs = slim(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), "text")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((1 - F.min("quality")).cast("double").alias("low"), F.max("toxic").cast("double").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` rows of three numbers are broadcast, and as many documents' features come to the driver.
-    fitted = docs.join(F.broadcast(known), "doc_id").select("doc_id", "low", "toxic", "text").mapInArrow(_encoded, "doc_id long, low double, toxic double, places binary")
-    rows = fitted.dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    places = [np.frombuffer(r["places"], np.int32) for r in rows]
-    weights = np.stack([_fit(places, np.array([r[h] for r in rows])) for h in HEADS], axis=1).astype(np.float32)
-    scores = save(docs.select("doc_id", "host", "path", "text").mapInArrow(lambda it: _scored(it, weights), "doc_id long, host string, path string, z_low double, z_toxic double"), "quality")
+    # At most ``sample`` rows of three numbers are broadcast.
+    fitted = docs.join(F.broadcast(known), "doc_id").select("doc_id", "low", "toxic", "text").mapInArrow(_encoded, "doc_id long, low double, toxic double, features array<long>")
+    fitted = save(fitted.dropDuplicates(["doc_id"]), "labelled")
+    # Of the sample only its telling features come to the driver.
+    numbers: dict[int, int] = {}
+    for h in HEADS:
+        for f in _telling(fitted, h):
+            numbers.setdefault(f, len(numbers))
+    chosen = docs.sparkSession.createDataFrame([(f, i) for f, i in numbers.items()], "f long, i int")
+    found = fitted.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("own"))
+    rows = sorted(fitted.select("doc_id", *HEADS).join(found, "doc_id", "left").collect(), key=lambda r: r["doc_id"])
+    own = [r["own"] or [] for r in rows]
+    weights = np.stack([_fit(own, len(numbers), np.array([r[h] for r in rows])) for h in HEADS], axis=1)
+    scores = save(docs.select("doc_id", "host", "path", "text").mapInArrow(lambda it: _scored(it, numbers, weights), "doc_id long, host string, path string, z_low double, z_toxic double"), "quality")
     sums = [e for h in HEADS for e in (F.sum(_p(F.col(f"z_{h}"))).alias(f"s_{h}"), F.sum(_p(F.col(f"z_{h}")) ** 2).alias(f"q_{h}"))]
     paths = save(scores.groupBy("host", "path").agg(F.count("*").alias("n"), *sums), "paths")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", *(f"{k}_{h}" for h in HEADS for k in "sq"))])
