@@ -32,6 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Bytes of an Arrow batch between the JVM and Python; both sides hold batches of long texts outside their heaps.
+BATCH = 8 << 20
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends batches of BATCH bytes at most to Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    size = int(now.rstrip("kmg")) << unit
+    if not 0 < size <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slim
+
 P = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525_017)
 #: Code points hashed at once, code points of a span, span hashes that a fingerprint keeps, their bits.
@@ -175,7 +177,7 @@ def fingerprints(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     first document of a bucket is copied into the bucket before it.  The driver sees the bounds and the first id of each bucket only.
     An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = slim(docs).sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
     n = ids.count()
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, new_path
+from .common import local_path, new_path, slim
 
 U64 = np.uint64
 #: Words in a chunk of counting and of scoring, word pairs that a shard gets about, words of the sample that finds hot contexts.
@@ -198,7 +198,7 @@ def train(docs: DataFrame, shards: int | None = None) -> dict:
 
     What comes to the driver: one line of counts for each shard and for each hot context of each shard.
     """
-    spark = docs.sparkSession
+    spark = slim(docs).sparkSession
     uri = new_path(spark, "kneser-ney")
     folder = local_path(uri)
     os.makedirs(folder)

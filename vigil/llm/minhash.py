@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slim
 from .graph import components
 
 #: 38 bands of 5: two sets of Jaccard 0.8 share no band in 3 of 10 million cases.
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     repeat a doc_id are one document as far as links go, and each is returned.  Null ids are labelled null and not kept.
     Other columns are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = slim(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = save(docs.mapInArrow(lambda it: _sketched(it, n), SKETCH), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))

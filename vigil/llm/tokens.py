@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_path, save
+from .common import local_path, save, slim
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +101,7 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENC
         vocabulary = f.read()
     stop = vocabulary.count(b"\n") + (not vocabulary.endswith(b"\n"))
     wide = stop > 0xFFFF
-    packed = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _packed(it, vocabulary, length, stop, wide), PACKED), "tokens")
+    packed = save(slim(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _packed(it, vocabulary, length, stop, wide), PACKED), "tokens")
     counts = packed.groupBy("part").agg(F.count("*").alias("c"))
     n = counts.agg(F.sum("c")).first()[0] or 0
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each input partition
