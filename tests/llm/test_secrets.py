@@ -50,7 +50,7 @@ def test_ownership(spark):
     df = spark.createDataFrame(rows, "doc_id long, owner string, repository string, text string")
     got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
     assert all(got[i]["n_copied"] == 1 and got[i]["n_live"] == 0 for i in range(6))
-    assert all(got[i]["n_live"] == 1 and got[i]["live_spans"] == "assign:0:26" for i in (10, 11))
+    assert all(got[i]["n_live"] == 1 and got[i]["live_spans"] == "assign:0:24" for i in (10, 11))
     assert got[12]["n_live"] == got[12]["n_copied"] == 0 and got[12]["spans"]
 
 
