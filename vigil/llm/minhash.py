@@ -23,9 +23,12 @@ from .graph import components
 #: 38 bands of 5: two sets of Jaccard 0.8 share no band in 3 of 10 million cases.
 BANDS, ROWS = 38, 5
 K = BANDS * ROWS
-#: Bits that may differ of the K lowest signature bits: 0.8 differs in 19 of 190 on average, 45 is six deviations more.
-MOST_BITS = 45
+#: Coordinates whose two lowest bits may differ: 0.8 differs in 28.5 of 190 on average, 53 is five deviations (4.9 each) more.
+MOST_APART = 53
+TRAITS = ("s0", "s1", "s2", "u0", "u1", "u2")
 CHUNK = 1 << 15
+#: Sets that share a rare shingle at most.
+RARE = 8
 
 U64 = np.uint64
 
@@ -81,9 +84,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _digest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three longs of the lowest bits, and a key for each band."""
-    bits = np.zeros((len(sig), 192), np.uint8)
+    """Three longs of the lowest bits, three of the bits above them, and a key for each band."""
+    bits = np.zeros((len(sig), 384), np.uint8)
     bits[:, :K] = sig & 1
+    bits[:, 192 : 192 + K] = sig >> 1 & 1
     low = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
     key = np.zeros((len(sig), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0xA0761D6478BD642F)
     for r in range(ROWS):
@@ -91,7 +95,7 @@ def _digest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, key.view(np.int64)
 
 
-SKETCH = "doc_id long, n long, f1 long, f2 long, s0 long, s1 long, s2 long, bands array<long>"
+SKETCH = "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{t} long" for t in TRAITS) + ", bands array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -99,12 +103,12 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
     def made(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
-        low, keys = np.zeros((len(sets), 3), np.int64), np.zeros((len(sets), BANDS), np.int64)
+        low, keys = np.zeros((len(sets), 6), np.int64), np.zeros((len(sets), BANDS), np.int64)
         if full:
             low[full], keys[full] = _digest(signatures([sets[i] for i in full]))
         prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([BANDS * bool(len(s)) for s in sets])]), pa.int32()), pa.array(keys[full].ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, (prints[:, 0].copy(), prints[:, 1].copy(), *low.T.copy())), lists], ["doc_id", "n", "f1", "f2", "s0", "s1", "s2", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, (prints[:, 0].copy(), prints[:, 1].copy(), *low.T.copy())), lists], ["doc_id", "n", "f1", "f2", *TRAITS, "bands"])
 
     for batch in batches:
         ids, sets, held = [], [], 0
@@ -157,7 +161,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     sketches = save(docs.mapInArrow(lambda it: _sketched(it, n), SKETCH), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    members = full.join(classes, ["n", "f1", "f2"]).select("doc_id", "class_id", "n", "s0", "s1", "s2", F.when(F.col("doc_id") == F.col("class_id"), F.col("bands")).alias("bands"))
+    members = full.join(classes, ["n", "f1", "f2"]).select("doc_id", "class_id", "n", *TRAITS, F.when(F.col("doc_id") == F.col("class_id"), F.col("bands")).alias("bands"))
     members = save(members, "members")
     reps = members.where("bands is not null")
     entries = reps.select(F.col("class_id").alias("id"), F.explode("bands").alias("band"))
@@ -166,15 +170,16 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     degree = buckets.groupBy("id").agg(F.sum("c").alias("degree"))
     ranked = buckets.join(degree, "id").select("band", "c", "id", F.struct("degree", "id").alias("rank"))
     centres = ranked.groupBy("band").agg(F.max("rank").getField("id").alias("a"))
-    traits = reps.select(F.col("class_id").alias("id"), "n", "s0", "s1", "s2").dropDuplicates(["id"]).join(degree.select("id"), "id")
+    traits = reps.select(F.col("class_id").alias("id"), "n", *TRAITS).dropDuplicates(["id"]).join(degree.select("id"), "id")
     traits = save(traits, "traits")
     texts = docs.join(traits.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = save(texts, "texts")
 
     def like(p: str, q: str):
-        apart = sum((F.bit_count(F.col(f"{p}.{s}").bitwiseXOR(F.col(f"{q}.{s}"))) for s in ("s0", "s1", "s2")), F.lit(0))
+        differ = lambda t: F.col(f"{p}.{t}").bitwiseXOR(F.col(f"{q}.{t}"))
+        apart = sum((F.bit_count(differ(f"s{i}").bitwiseOR(differ(f"u{i}"))) for i in range(3)), F.lit(0))
         small, large = F.least(f"{p}.n", f"{q}.n"), F.greatest(f"{p}.n", f"{q}.n")
-        return (100 * small >= percent * large) & (apart <= MOST_BITS)
+        return (100 * small >= percent * large) & (apart <= MOST_APART)
 
     def verified(pairs: DataFrame) -> DataFrame:
         at = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
@@ -191,15 +196,25 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     rest = rest.select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = rest.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     rest = save(rest.join(mixed, "band").join(traits, "id"), "rest")
-    # A shingle that no other of these sets has is in no intersection, which bounds the similarity of copies that were edited apart.
-    ids = rest.select(F.col("id").alias("doc_id")).distinct()
-    single = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
-    single = single.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    rest = rest.join(single, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    most = F.least("p.shared", "q.shared")
-    bound = 100 * most >= percent * (F.col("p.n") + F.col("q.n") - most)
-    more = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & bound & like("p", "q"))
-    more = verified(more.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
+    # Shingles that few of these sets have make them apart.  Sets that share none of those have the rest in common at most; those that share some
+    # meet in a join on them, in which a shingle pairs RARE sets at most.  Either way no link is lost and the pairs of a group are not written out.
+    about = rest.select("id", "component", "n", *TRAITS).distinct()
+    held = texts.join(about.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
+    held = save(held, "rest-shingles")
+    rare = save(held.join(held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= RARE).select("h"), "h"), "rare")
+    about = about.join(rare.groupBy("id").agg(F.count("*").alias("own")), "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    about = save(about, "about")
+    p, q = F.col("p.shared"), F.col("q.shared")
+    enough = lambda common: 100 * common >= percent * (F.col("p.n") + F.col("q.n") - common)
+    apart = (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+    ends = F.col("p.id").alias("a"), F.col("q.id").alias("b")
+    rest = rest.select("band", "id").join(about, "id")
+    plain = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & apart & enough(F.least(p, q)) & like("p", "q")).select(*ends)
+    some = rare.join(about, "id")
+    met = some.alias("p").join(some.alias("q"), (F.col("p.h") == F.col("q.h")) & apart & like("p", "q"))
+    met = met.groupBy(*ends).agg(F.count("*").alias("o"), F.first(F.least(p, q)).alias("shared"), F.first(F.col("p.n") + F.col("q.n")).alias("sum"))
+    met = met.where(100 * (F.col("shared") + F.col("o")) >= percent * (F.col("sum") - F.col("shared") - F.col("o"))).select("a", "b")
+    more = verified(plain.union(met).distinct())
     if not more.isEmpty():
         found = components(links.union(more))
     out = sketches.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").join(found, F.col("class_id") == F.col("node"), "left")
