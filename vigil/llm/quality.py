@@ -8,6 +8,7 @@ own evidence is then combined with the posterior of its path, in which it does n
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,13 @@ from .common import save, slim
 
 #: Labelled documents that the classifier is fitted on at most (those of least hash); documents that must share a feature; deviations by which a feature has to
 #: stand out between the labels; features that a head may use, those that stand out most.
-SAMPLE, LEAST, DEVIATIONS, FEATURES = 8_000, 4, 5.0, 20_000
+SAMPLE, LEAST, DEVIATIONS, FEATURES = 8_000, 2, 3.0, 20_000
+#: The ridge of a feature that stands out by CLEAR deviations or more; one that stands out less is held back by this power of the shortfall.
+RIDGE, CLEAR, POWER = 0.02, 5.0, 12
 #: Bounds of the evidence and of what a site may add to it, in logits.
 STRONG, SITE = 12.0, 2.0
 HEADS = ("low", "toxic")
+SYMBOLS, CAPITALS = string.punctuation.encode(), string.ascii_uppercase.encode()
 
 
 def _signed(h: int) -> int:
@@ -50,7 +54,8 @@ class _Index(dict):
 
 def features(text: str | None, index: _Index) -> list[int]:
     """The binary features of a whole text: its words, their starts, and its layout."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    cased = (text or "").encode("utf-8", "surrogatepass")
+    raw = cased.lower()
     words = raw.split()
     distinct = set(words)
     found = {f for w in distinct for f in index[w]}
@@ -62,7 +67,10 @@ def features(text: str | None, index: _Index) -> list[int]:
         "empty": not words, "marks": min(9, int(20 * marks / n)), "varied": varied, "few": len(distinct) < 3 <= len(words), "long": min(12, len(raw) // n // 2),
         "stops": min(9, int(60 * stops / n)), "lines": min(9, int(40 * raw.count(b"\n") / n)), "size": size, "varied, size": (varied, size),
     }
+    # Levels hold the lower ones, so that kinds of junk with a share of symbols or capitals speak for one another.
+    levels = {"symbols": 4 * (len(raw) - len(raw.translate(None, SYMBOLS))) // n, "capitals": 8 * (len(cased) - len(cased.translate(None, CAPITALS))) // max(1, len(cased))}
     found.update(f for k, v in layout.items() for f in index.of(f"{k}={v}".encode(), 2))
+    found.update(f for k, v in levels.items() for i in range(min(6, v)) for f in index.of(f"{k}>{i}".encode(), 2))
     return sorted(found)
 
 
@@ -73,19 +81,20 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "low", "toxic", "features"])
 
 
-def _telling(sample: DataFrame, head: str) -> list[int]:
-    """The features whose share of positive documents stands out from the sample's."""
+def _telling(sample: DataFrame, head: str) -> dict[int, float]:
+    """The features whose share of positive documents stands out from the sample's, and by how many deviations."""
     base = sample.agg(F.count("*").alias("n"), F.avg(head).alias("p")).first()
     p = base["p"] or 0.0
     if not 0 < p < 1:
-        return []
+        return {}
     counts = sample.select(head, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum(head).alias("k")).where(F.col("n") >= LEAST)
     z = F.abs(F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    return [r["f"] for r in counts.withColumn("z", z).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
+    return {r["f"]: r["z"] for r in counts.withColumn("z", z).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "f").limit(FEATURES).collect()}
 
 
-def _fit(rows: list[list[int]], size: int, y: np.ndarray, steps: int = 300, ridge: float = 0.02) -> np.ndarray:
-    """Weights of so many features and a bias: logistic regression on the whole sample, by Adam."""
+def _fit(rows: list[list[int]], z: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Weights of the features, which stand out by z deviations, and a bias: logistic regression on the whole sample, by Adam."""
+    size, ridge = len(z), RIDGE * np.maximum(1, CLEAR / np.maximum(z, DEVIATIONS / 2)) ** POWER
     if not 0 < y.sum() < len(y):
         return np.append(np.zeros(size), STRONG if len(y) and y.all() else -STRONG)
     row, col = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.array([f for r in rows for f in r], np.int64)
@@ -146,15 +155,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     fitted = docs.join(F.broadcast(known), "doc_id").select("doc_id", "low", "toxic", "text").mapInArrow(_encoded, "doc_id long, low double, toxic double, features array<long>")
     fitted = save(fitted.dropDuplicates(["doc_id"]), "labelled")
     # Of the sample only its telling features come to the driver.
-    numbers: dict[int, int] = {}
-    for h in HEADS:
-        for f in _telling(fitted, h):
-            numbers.setdefault(f, len(numbers))
+    telling = {h: _telling(fitted, h) for h in HEADS}
+    numbers = {f: i for i, f in enumerate(dict.fromkeys(f for h in HEADS for f in telling[h]))}
     chosen = docs.sparkSession.createDataFrame([(f, i) for f, i in numbers.items()], "f long, i int")
     found = fitted.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("own"))
     rows = sorted(fitted.select("doc_id", *HEADS).join(found, "doc_id", "left").collect(), key=lambda r: r["doc_id"])
     own = [r["own"] or [] for r in rows]
-    weights = np.stack([_fit(own, len(numbers), np.array([r[h] for r in rows])) for h in HEADS], axis=1)
+    weights = np.stack([_fit(own, np.array([telling[h].get(f, 0.0) for f in numbers]), np.array([r[h] for r in rows])) for h in HEADS], axis=1)
     scores = save(docs.select("doc_id", "host", "path", "text").mapInArrow(lambda it: _scored(it, numbers, weights), "doc_id long, host string, path string, z_low double, z_toxic double"), "quality")
     sums = [e for h in HEADS for e in (F.sum(_p(F.col(f"z_{h}"))).alias(f"s_{h}"), F.sum(_p(F.col(f"z_{h}")) ** 2).alias(f"q_{h}"))]
     paths = save(scores.groupBy("host", "path").agg(F.count("*").alias("n"), *sums), "paths")
