@@ -48,9 +48,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def shingles(text: str | None, n: int, words: _Words) -> np.ndarray:
+def shingles(text: str | bytes | None, n: int, words: _Words) -> np.ndarray:
     """Sorted hashes of the distinct n-word shingles; fewer words are one shingle, none are none."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
@@ -123,15 +123,25 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield made(ids, sets)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they travel: the whole corpus is shuffled once, so its bytes count."""
+    for batch in batches:
+        raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), pa.array([pa.compress(r, codec="zstd", asbytes=True) for r in raw], pa.binary())], ["doc_id", "size", "body"])
+
+
+def _set(size: int, body: bytes, n: int, words: _Words) -> np.ndarray:
+    return shingles(pa.decompress(body, size, codec="zstd", asbytes=True) if size else b"", n, words)
+
+
 def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     words, last = _Words(), (None, None)
     for batch in batches:
         a, b = [], []
-        for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            s = s.as_py()
-            if last[0] != s:
-                last = (s, shingles(s, n, words))
-            other = shingles(t.as_py(), n, words)
+        for x, y, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last[0] != x:
+                last = (x, _set(*packed[:2], n, words))
+            other = _set(*packed[2:], n, words)
             both = len(np.intersect1d(last[1], other, assume_unique=True))
             if both and 100 * both >= percent * (len(last[1]) + len(other) - both):
                 a.append(x)
@@ -142,8 +152,8 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
 def _exploded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            h = shingles(t.as_py(), n, words).view(np.int64)
+        for d, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h = _set(*packed, n, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d, np.int64)), pa.array(h)], ["id", "h"])
 
 
@@ -160,19 +170,19 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     docs = slim(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = save(docs.mapInArrow(lambda it: _sketched(it, n), SKETCH), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    members = full.join(classes, ["n", "f1", "f2"]).select("doc_id", "class_id", "n", *TRAITS, F.when(F.col("doc_id") == F.col("class_id"), F.col("bands")).alias("bands"))
-    members = save(members, "members")
-    reps = members.where("bands is not null")
+    classes = save(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
+    # The rows of a class meet only where its number is put on them, at the end, in a join that Spark can split: one class may hold a third of all rows.
+    first = classes.withColumnRenamed("class_id", "doc_id")
+    reps = save(full.join(first, ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"]).select(F.col("doc_id").alias("class_id"), "n", *TRAITS, "bands"), "representatives")
     entries = reps.select(F.col("class_id").alias("id"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "c")
+    shared = entries.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     buckets = save(entries.join(shared, "band").distinct(), "buckets")  # only classes that share a bucket
     degree = buckets.groupBy("id").agg(F.sum("c").alias("degree"))
     ranked = buckets.join(degree, "id").select("band", "c", "id", F.struct("degree", "id").alias("rank"))
     centres = ranked.groupBy("band").agg(F.max("rank").getField("id").alias("a"))
-    traits = reps.select(F.col("class_id").alias("id"), "n", *TRAITS).dropDuplicates(["id"]).join(degree.select("id"), "id")
+    traits = reps.select(F.col("class_id").alias("id"), "n", *TRAITS).join(degree.select("id"), "id").dropDuplicates(["id"])
     traits = save(traits, "traits")
-    texts = docs.join(traits.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.mapInArrow(_compressed, "doc_id long, size long, body binary").join(traits.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = save(texts, "texts")
 
     def like(p: str, q: str):
@@ -182,8 +192,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
         return (100 * small >= percent * large) & (apart <= MOST_APART)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        at = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-        both = pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "text_a", "text_b")
+        at = lambda k: texts.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("body").alias(f"body_{k}"))
+        both = pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "size_a", "body_a", "size_b", "body_b")
         return save(both.mapInArrow(lambda it: _verified(it, n, percent), "a long, b long"), "verified")
 
     near = traits.alias("p"), traits.alias("q")
@@ -199,7 +209,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     # Shingles that few of these sets have make them apart.  Sets that share none of those have the rest in common at most; those that share some
     # meet in a join on them, in which a shingle pairs RARE sets at most.  Either way no link is lost and the pairs of a group are not written out.
     about = rest.select("id", "component", "n", *TRAITS).distinct()
-    held = texts.join(about.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
+    held = texts.join(about.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "body").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
     held = save(held, "rest-shingles")
     rare = save(held.join(held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= RARE).select("h"), "h"), "rare")
     about = about.join(rare.groupBy("id").agg(F.count("*").alias("own")), "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
@@ -208,8 +218,11 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     enough = lambda common: 100 * common >= percent * (F.col("p.n") + F.col("q.n") - common)
     apart = (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
     ends = F.col("p.id").alias("a"), F.col("q.id").alias("b")
-    rest = rest.select("band", "id").join(about, "id")
-    plain = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & apart & enough(F.least(p, q)) & like("p", "q")).select(*ends)
+    own = save(rest.groupBy("id").agg(F.collect_set("band").alias("bands")), "own-bands")  # BANDS at most
+    rest = rest.select("band", "id").join(about, "id").join(own, "id")
+    # Of the bands that two sets share, the least one answers for the pair.
+    answers = F.col("p.band") == F.array_min(F.array_intersect("p.bands", "q.bands"))
+    plain = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & apart & enough(F.least(p, q)) & like("p", "q") & answers).select(*ends)
     some = rare.join(about, "id")
     met = some.alias("p").join(some.alias("q"), (F.col("p.h") == F.col("q.h")) & apart & like("p", "q"))
     met = met.groupBy(*ends).agg(F.count("*").alias("o"), F.first(F.least(p, q)).alias("shared"), F.first(F.col("p.n") + F.col("q.n")).alias("sum"))
@@ -217,10 +230,11 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     more = verified(plain.union(met).distinct())
     if not more.isEmpty():
         found = components(links.union(more))
-    out = sketches.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").join(found, F.col("class_id") == F.col("node"), "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    out = out.withColumn("component_id", component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    labelled = save(classes.join(found, F.col("class_id") == F.col("node"), "left").select("n", "f1", "f2", "class_id", "component"), "labelled")
+    out = sketches.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
+    of = lambda *c: F.when(F.col("doc_id").isNotNull(), F.coalesce(*c, "doc_id"))
+    out = out.withColumns({"component_id": of("component", "class_id"), "class_id": of("class_id")})
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
