@@ -70,7 +70,8 @@ def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 4) -> D
     rows = save(rows, "spans")
     holders = rows.select("owner", "repository", F.explode(F.transform("found", lambda s: s["hash"])).alias("hash")).distinct()
     owned = holders.groupBy("hash", "owner").agg(F.count("*").alias("repositories")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    wide = owned.where((F.col("owners") > most_owners) | (F.col("repositories") > most_repositories)).select(F.col("hash").alias("wide"))
+    # Written first, so that Spark can split the join on a hash that a large share of all rows has.
+    wide = save(owned.where((F.col("owners") > most_owners) | (F.col("repositories") > most_repositories)).select(F.col("hash").alias("wide")), "copied")
     each = rows.select("row", F.explode("found").alias("s")).join(wide, F.col("s.hash") == F.col("wide"), "left")
     copied = each.where("wide is not null").groupBy("row").agg(F.collect_set("wide").alias("wide"))
     out = rows.join(copied, "row", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<long>")))
