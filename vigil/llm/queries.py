@@ -29,7 +29,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.near_lines(table(spark, sf_dir, "documents"), share=lines.SHARE)
+    return lines.near_lines(table(spark, sf_dir, "documents"), least=lines.SHORT, share=lines.SHARE)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
