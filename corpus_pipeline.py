@@ -29,8 +29,8 @@ def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids in training order."""
-    return tokens.sequences(docs)
+    """Sequences of token ids in training order, written as shards and read back."""
+    return tokens.stored(docs)
 
 
 STAGES = [("quality", accept), ("minhash", deduplicate), ("decontamination", decontaminate), ("mixing", weigh), ("tokens", tokenise)]

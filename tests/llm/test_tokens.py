@@ -1,3 +1,4 @@
+import glob
 import os
 
 import numpy as np
@@ -6,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import ODD, prose
 
-from vigil.llm import tokens
+from vigil.llm import queries, tokens
+from vigil.llm.common import local_path, shared_dir
 
 pytestmark = pytest.mark.skipif(not os.path.exists(tokens.TOKENIZER), reason="no vocabulary")
 
@@ -53,3 +55,21 @@ def test_odd_rows(odd, none):
     assert tokens.sequences(none).count() == 0
     assert sum((np.frombuffer(r["record"], "<u2")[: r["n_tokens"]] == 50256).sum() for r in got) == len(ODD)
     assert {d for r in got for d in r["doc_ids"]} == {d for d, *_ in ODD}
+
+
+def test_query_writes_the_shards(spark, tmp_path, none):
+    docs = spark.createDataFrame([(i, prose(5 + i * 20, i)) for i in range(60)], "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    folders = lambda: set(glob.glob(f"{local_path(shared_dir(spark))}/llm/token-shards-*"))
+    before = folders()
+    made = queries.op7_tokens(spark, str(tmp_path))
+    rows = made.collect()
+    (folder,) = folders() - before
+    assert [r["slot"] for r in rows] == list(range(len(rows)))
+    assert [r["record"] for r in rows] == [x.tobytes() for x in tokens.read_slots(f"file://{folder}", 0, len(rows))]
+    assert rows == tokens.sequences(spark.read.parquet(f"{tmp_path}/documents.parquet")).orderBy("slot").collect()
+    with open(f"{folder}/shard-00000000.bin", "r+b") as f:
+        f.write(b"spoilt")
+    with pytest.raises(Exception, match="is not as written"):
+        made.collect()
+    assert tokens.stored(none).count() == 0

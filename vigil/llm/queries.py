@@ -37,7 +37,7 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.sequences(table(spark, sf_dir, "documents"))
+    return tokens.stored(table(spark, sf_dir, "documents"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_path, save, slim
+from .common import local_path, new_path, save, slim
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,11 +59,12 @@ PACKED = "part long, nth long, n_tokens long, doc_ids array<long>, body binary"
 def _packed(batches: Iterator[pa.RecordBatch], vocabulary: bytes, length: int, stop: int, wide: bool) -> Iterator[pa.RecordBatch]:
     """Documents one after the other, each closed by stop, cut into sequences; the last of a partition may be short."""
     enc, part, nth, kind = encoder(vocabulary), TaskContext.get().partitionId(), 0, np.uint32 if wide else np.uint16
+    zstd = pa.Codec("zstd", compression_level=3)
     held, owners, out = np.zeros(0, kind), [], []
 
     def cut(ids: np.ndarray) -> None:
         nonlocal nth
-        out.append((part, nth, len(ids), list(dict.fromkeys(owners)), pa.compress(ids.tobytes(), codec="zstd", asbytes=True)))
+        out.append((part, nth, len(ids), list(dict.fromkeys(owners)), zstd.compress(ids.tobytes(), asbytes=True)))
         nth += 1
 
     def flush() -> pa.RecordBatch:
@@ -107,7 +108,7 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENC
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each input partition
     base = counts.select("part", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("base"))
     slot = F.pandas_udf(lambda s: pd.Series(feistel(s.to_numpy(np.int64), n, key)), "long")
-    placed = packed.join(base, "part").withColumn("slot", slot(F.col("base") + F.col("nth")))
+    placed = packed.join(F.broadcast(base), "part").withColumn("slot", slot(F.col("base") + F.col("nth")))
     placed = placed.select("slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), F.pmod("slot", F.lit(per_shard)).alias("place"), "n_tokens", "doc_ids", "body")
     parts = max(1, min(-(-n // per_shard), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ranged = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
@@ -124,10 +125,13 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENC
     return ranged.mapInArrow(unpacked, "slot long, shard long, place long, n_tokens long, doc_ids array<long>, record binary")
 
 
+MANIFEST = "shard long, path string, first_slot long, records long, bytes long, sha256 string, n_tokens array<long>, doc_ids array<array<long>>"
+
+
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the records of sequences() as folder/shard-N.bin, N the shard: record ``place`` starts at place * stride.
 
-    One row per shard: shard, path, first_slot, records, bytes, sha256.  folder must be mounted on every host.  A task writes whole shards to a file of its own
+    One row per shard: shard, path, first_slot, records, bytes, sha256, and n_tokens and doc_ids of its records in order.  folder must be mounted on every host.  A task writes whole shards to a file of its own
     and renames it, so retries and lost executors leave whole files only.
     """
     to = local_path(folder)
@@ -137,29 +141,60 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
         now, out = None, []
 
         def close() -> None:
-            shard, f, path, first, n, size, digest = now
+            shard, f, path, first, n, size, digest, lengths, owners = now
             f.close()
             os.replace(f.name, path)
-            out.append((shard, path, first, n, size, digest.hexdigest()))
+            out.append((shard, path, first, n, size, digest.hexdigest(), lengths, owners))
 
         for batch in batches:
-            for shard, slot, record in zip(batch.column("shard").to_pylist(), batch.column("slot").to_pylist(), batch.column("record").to_pylist(), strict=True):
+            for shard, slot, record, k, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record", "n_tokens", "doc_ids")), strict=True):
                 if now is None or now[0] != shard:
                     if now is not None:
                         close()
                     path = f"{to}/shard-{shard:08d}.bin"
-                    now = [shard, open(f"{path}.{os.getpid()}.{TaskContext.get().taskAttemptId()}", "wb"), path, slot, 0, 0, hashlib.sha256()]  # noqa: SIM115
+                    now = [shard, open(f"{path}.{os.getpid()}.{TaskContext.get().taskAttemptId()}", "wb"), path, slot, 0, 0, hashlib.sha256(), [], []]  # noqa: SIM115
                 now[1].write(record)
                 now[4] += 1
                 now[5] += len(record)
                 now[6].update(record)
+                now[7].append(k)
+                now[8].append(ids)
         if now is not None:
             close()
         if out:
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "path", "first_slot", "records", "bytes", "sha256"])
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "path", "first_slot", "records", "bytes", "sha256", "n_tokens", "doc_ids"])
+
+    return save(ordered.mapInArrow(written, MANIFEST), "shards")
 
-    return save(ordered.mapInArrow(written, "shard long, path string, first_slot long, records long, bytes long, sha256 string"), "shards")
+
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """The rows of sequences() from the files that manifest (of write_shards) names, range-partitioned and sorted by slot.  A file that is not as the manifest says is an error."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["slot", "shard", "place", "n_tokens", "doc_ids", "record"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                n, stride, digest = row["records"], row["bytes"] // row["records"], hashlib.sha256()
+                with open(row["path"], "rb") as f:
+                    for at in range(0, n, 1024):
+                        k = min(1024, n - at)
+                        digest.update(data := f.read(k * stride))
+                        if len(data) < k * stride or at + k == n and (f.read(1) or digest.hexdigest() != row["sha256"]):
+                            raise ValueError(f"{row['path']} is not as written")
+                        place = np.arange(at, at + k)
+                        records = [data[j : j + stride] for j in range(0, k * stride, stride)]
+                        columns = (pa.array(row["first_slot"] + place), pa.array(np.full(k, row["shard"])), pa.array(place), pa.array(row["n_tokens"][at : at + k], pa.int64()), pa.array(row["doc_ids"][at : at + k], pa.list_(pa.int64())), pa.array(records, pa.binary()))
+                        yield pa.RecordBatch.from_arrays(list(columns), names)
+
+    parts = max(1, min(manifest.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return manifest.repartitionByRange(parts, "shard").sortWithinPartitions("shard").mapInArrow(read, "slot long, shard long, place long, n_tokens long, doc_ids array<long>, record binary")
+
+
+def stored(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = 1) -> DataFrame:
+    """The rows of sequences(), written as shards to a new folder of the shared one and read back from these files."""
+    return read_shards(write_shards(sequences(docs, tokenizer, length, per_shard, key), new_path(docs.sparkSession, "token-shards")))
 
 
 def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE, per_shard: int = PER_SHARD, wide: bool = False) -> Iterator[np.ndarray]:
