@@ -63,3 +63,10 @@ def test_odd_rows(odd, none, spark):
 def test_no_python(odd, spark):
     plan = contaminated(odd, spark.createDataFrame([(1, prose(12, 2))], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clean_rows_of_a_null_or_repeated_id_stay(spark):
+    item = prose(20, 1)
+    docs = [(None, item), (None, prose(30, 2)), (None, None), (1, item), (1, prose(30, 3)), (2, prose(30, 4))]
+    left = decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(left.collect(), key=str) == sorted((x for x in docs if x[1] != item), key=str)

@@ -74,13 +74,13 @@ def _hashes(w: Column, n: Column, width: int) -> Column:
     return F.transform(_positions(n, width), lambda i: F.xxhash64(*_at(w, i, width)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS, by_row: bool = False) -> DataFrame:
     """(doc_id, text), (item_id, text) -> one row for each document and item that it holds: doc_id, item_id, start (word), n_words and similarity of the best window.
 
     A window has as many words as the item, or the whole document if that is shorter; it holds the item if 100 * sum of the lesser weights >= percent * sum of the greater, over shingles of
     five words (items of fewer words: all of them).  Words are lower-cased runs of anything but ASCII white space.  Null and blank texts hold nothing and
     blank items are held by nothing.  Rows that repeat a doc_id or item_id are examined each and returned once; ties go to the first window.  Null ids are returned as null.  Empty
-    tables give no rows; other columns are not looked at.
+    tables give no rows; other columns are not looked at.  With ``by_row`` rows that repeat a doc_id with other text are returned each, and row is a hash of the text.
     """
     if radius >= 2 * BLOCKS:
         raise ValueError(f"the blocks guarantee a radius below {2 * BLOCKS}")
@@ -89,6 +89,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
     shape = items.agg(F.collect_set("width").alias("widths"), F.max("n").alias("most"), F.sum(F.col("n") - F.col("width") + 1).alias("shingles")).first()
     planes = max(1, int(shape["most"] or 0).bit_length())
     broad = F.broadcast if (shape["shingles"] or 0) <= BROADCAST else (lambda df: df)
+    own_id = ["doc_id", "row"] if by_row else ["doc_id"]
     out = None
     for width in sorted(shape["widths"] or [WIDTH]):
         own = items.where(F.col("width") == width).withColumn("m", F.col("n") - width + 1)
@@ -110,29 +111,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
         chosen = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
         found = chosen.alias("d").join(asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.row") == F.col("a.row")))
         cut = lambda w: F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["length"].alias("length"), F.slice(w, x["start"] + 1, x["length"]).alias("w")))
-        found = found.select("d.doc_id", F.explode_outer(let(words(F.col("text")), cut)).alias("x")).select("doc_id", "x.*")
+        found = found.select(*[f"d.{c}" for c in own_id], F.explode_outer(let(words(F.col("text")), cut)).alias("x")).select(*own_id, "x.*")
         prints = lambda df: df.withColumn("print", _simhash(_hashes(F.col("w"), F.size("w"), width), F.size("w") - width + 1, planes))  # noqa: E731, B023
         found = save(prints(found), "windows")
         blocks = lambda values: F.explode(F.array(*[F.struct(F.lit(b).alias("block"), v.alias("value")) for b, v in values]))
         near = [(b, _block(F.col("print"), b).bitwiseXOR(F.lit(x))) for b, (low, high) in enumerate(_CUTS) for x in (0, *(1 << i for i in range(high - low)))]
         index = prints(own).select("item_id", F.col("n").alias("item_n"), F.col("w").alias("item_w"), F.col("print").alias("item_print"), blocks(near).alias("b")).select("item_id", "item_n", "item_w", "item_print", "b.block", "b.value")
-        probes = found.select("doc_id", "start", "n", "length", "w", "print", blocks([(b, _block(F.col("print"), b)) for b in range(BLOCKS)]).alias("b")).select("doc_id", "start", "n", "length", "w", "print", "b.block", "b.value")
+        probes = found.select(*own_id, "start", "n", "length", "w", "print", blocks([(b, _block(F.col("print"), b)) for b in range(BLOCKS)]).alias("b")).select(*own_id, "start", "n", "length", "w", "print", "b.block", "b.value")
         apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
         pairs = probes.alias("p").join(broad(index).alias("i"), (F.col("p.block") == F.col("i.block")) & (F.col("p.value") == F.col("i.value")) & (F.col("p.n") == F.col("i.item_n")) & (apart <= radius))
         # Of the blocks in which a pair agrees, the first one answers for it.
         first = F.least(*[F.when(F.bit_count(_block(F.col("print").bitwiseXOR(F.col("item_print")), b)) <= 1, F.lit(b)) for b in range(BLOCKS)])
         pairs = pairs.where(F.col("p.block") == first)
         a, b = _shingles(F.col("w"), F.size("w"), width), _shingles(F.col("item_w"), F.size("item_w"), width)
-        exact = pairs.select("doc_id", "item_id", "start", "length", F.size(F.array_intersect(a, b)).alias("both"), (F.size("w") + F.size("item_w") - 2 * (width - 1)).alias("all"))
+        exact = pairs.select(*own_id, "item_id", "start", "length", F.size(F.array_intersect(a, b)).alias("both"), (F.size("w") + F.size("item_w") - 2 * (width - 1)).alias("all"))
         good = exact.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("all") - F.col("both")))
         rank = F.struct((F.col("both") / (F.col("all") - F.col("both"))).alias("similarity"), (-F.col("start")).alias("start"), "length")
-        best = good.groupBy("doc_id", "item_id").agg(F.max(rank).alias("best"))
-        best = best.select("doc_id", "item_id", (-F.col("best.start")).cast("long").alias("start"), F.col("best.length").cast("long").alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
+        best = good.groupBy(*own_id, "item_id").agg(F.max(rank).alias("best"))
+        best = best.select(*own_id, "item_id", (-F.col("best.start")).cast("long").alias("start"), F.col("best.length").cast("long").alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
         out = best if out is None else out.unionByName(best)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id holds no benchmark item."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that hold no benchmark item; of rows that share a doc_id, or have none, only those whose text holds one go."""
+    gone = contaminated(docs, benchmark, by_row=True).select(F.col("doc_id").alias("__gone"), F.col("row").alias("__row")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__row")), "left_anti")
