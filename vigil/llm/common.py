@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space (as a Java and a DuckDB pattern).
@@ -51,14 +53,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here."""
+def save(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here.
+
+    few: df is what shuffles have reduced; it is written by six tasks for each core of the cluster at most, whatever the number of shuffle partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if few:
+        df = df.coalesce(6 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are collected inside leave no shuffle files once they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def local_path(uri: str) -> str:
     """The mount point of a shared folder, for files that workers map into memory."""
     if uri.startswith("file:"):
@@ -75,6 +94,22 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """docs with one of the rows that share doc_id and text; all rows whose doc_id is null.  Each task drops repeats before rows are shuffled."""
+    nth = unused("nth", docs)
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    first = docs.where(F.col("doc_id").isNotNull()).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def let(value: Column, f) -> Column:
     """f of a value that is computed once per row.  A column that a lambda refers to can be computed anew for each element."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

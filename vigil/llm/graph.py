@@ -20,18 +20,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link at most and no node that is pointed to has one: then no step changes anything."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where(F.col("out") + F.col("into") > 1).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (node, component), the component being the least node that can be reached.
 
-    Nodes without a link are not returned; self links and repeats count for nothing.  Each round is written to the shared folder.
+    Nodes without a link are not returned; self links, repeats and links with a null count for nothing.  Each round is written to the shared folder.
     """
-    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while True:
-        now = save(_star(_star(now, True), False), "stars")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
+    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", few=True)
+    while not _settled(now):
+        now = save(_star(_star(now, True), False), "stars", few=True)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,7 +4,8 @@ Two permutations of the 32-bit universe make the whole signature: the first scat
 shingles, the second, shifted circularly by k, gives coordinate k.  Documents with equal shingle
 sets are one class.  In each band bucket the class with most bucket neighbours is compared with
 every other; what is then in another component is compared with the rest.  So a group of copies
-costs as many comparisons as it has members, and no candidate is left out.
+costs as many comparisons as it has members.  A pair is a candidate if it shares a band and, unless that is
+switched off, if its sketches differ by no more than chance allows at the similarity asked for.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slim
+from .common import once, save, slim
 from .graph import components
 
 #: 38 bands of 5: two sets of Jaccard 0.8 share no band in 3 of 10 million cases.
@@ -157,7 +158,7 @@ def _exploded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d, np.int64)), pa.array(h)], ["id", "h"])
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, most_apart: int | None = MOST_APART) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id and kept for every row of docs (doc_id, text).
 
     Documents are linked if 100 * intersection >= percent * union of their sets of n-word shingles (A-Z
@@ -165,83 +166,95 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     Null, empty and blank texts have no shingle and link with nothing.  class_id is the least doc_id with the same
     set, component_id the least that links reach; kept marks the rows whose doc_id is the component's.  Rows that
     repeat a doc_id are one document as far as links go, and each is returned.  Null ids are labelled null and not kept.
-    Other columns are not looked at.
+    Texts of any length are taken whole.  An empty table gives no rows.  Other columns are not looked at, whatever they are called.
+
+    ``most_apart``: bits of the sketch that a pair may differ in before its texts are fetched; None fetches the texts of every pair of a bucket that
+    sizes do not rule out.  What a pair can miss is a common band, and five deviations of the sketch; both are computed in the README.
     """
     docs = slim(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = save(docs.mapInArrow(lambda it: _sketched(it, n), SKETCH), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
-    classes = save(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
-    # The rows of a class meet only where its number is put on them, at the end, in a join that Spark can split: one class may hold a third of all rows.
-    first = classes.withColumnRenamed("class_id", "doc_id")
-    reps = save(full.join(first, ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"]).select(F.col("doc_id").alias("class_id"), "n", *TRAITS, "bands"), "representatives")
+    # One row per class, reduced in each task first: one class may hold a third of all rows.
+    best = F.min_by(F.struct(*TRAITS, "bands"), "doc_id").alias("best")
+    reps = save(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), best).select("class_id", "n", "f1", "f2", "best.*"), "representatives", few=True)
     entries = reps.select(F.col("class_id").alias("id"), F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = save(entries.join(shared, "band").distinct(), "buckets")  # only classes that share a bucket
-    degree = buckets.groupBy("id").agg(F.sum("c").alias("degree"))
-    ranked = buckets.join(degree, "id").select("band", "c", "id", F.struct("degree", "id").alias("rank"))
-    centres = ranked.groupBy("band").agg(F.max("rank").getField("id").alias("a"))
-    traits = reps.select(F.col("class_id").alias("id"), "n", *TRAITS).join(degree.select("id"), "id").dropDuplicates(["id"])
-    traits = save(traits, "traits")
-    texts = docs.mapInArrow(_compressed, "doc_id long, size long, body binary").join(traits.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    mine = entries.join(shared, "band").groupBy("id").agg(F.collect_set(F.struct("band", "c")).alias("bands"), F.sum("c").alias("degree"))  # BANDS of them at most
+    traits = reps.groupBy(F.col("class_id").alias("id")).agg(F.min(F.struct("n", *TRAITS)).alias("t")).select("id", "t.*")
+    members = save(mine.join(traits, "id"), "members", few=True)  # the classes that share a bucket
+    texts = docs.mapInArrow(_compressed, "doc_id long, size long, body binary").join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = save(texts, "texts")
 
     def like(p: str, q: str):
         differ = lambda t: F.col(f"{p}.{t}").bitwiseXOR(F.col(f"{q}.{t}"))
         apart = sum((F.bit_count(differ(f"s{i}").bitwiseOR(differ(f"u{i}"))) for i in range(3)), F.lit(0))
         small, large = F.least(f"{p}.n", f"{q}.n"), F.greatest(f"{p}.n", f"{q}.n")
-        return (100 * small >= percent * large) & (apart <= MOST_APART)
+        return (100 * small >= percent * large) & (F.lit(True) if most_apart is None else apart <= most_apart)
 
     def verified(pairs: DataFrame) -> DataFrame:
         at = lambda k: texts.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("body").alias(f"body_{k}"))
         both = pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "size_a", "body_a", "size_b", "body_b")
-        return save(both.mapInArrow(lambda it: _verified(it, n, percent), "a long, b long"), "verified")
+        return save(both.mapInArrow(lambda it: _verified(it, n, percent), "a long, b long"), "verified", few=True)
 
-    near = traits.alias("p"), traits.alias("q")
-    stars = buckets.join(centres, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = stars.join(near[0], F.col("a") == F.col("p.id")).join(near[1], F.col("b") == F.col("q.id")).where(like("p", "q")).select("a", "b")
-    links = verified(stars)
+    spread = members.select("id", "degree", "n", *TRAITS, F.explode("bands").alias("e")).select("id", "degree", "n", *TRAITS, "e.band", "e.c")
+    centre = F.max(F.struct("degree", "id", "n", *TRAITS)).alias("q")
+    stars = spread.alias("p").join(spread.groupBy("band").agg(centre).alias("r"), "band").where(F.col("p.id") != F.col("r.q.id")).where(like("p", "r.q"))
+    links = verified(stars.select(F.col("r.q.id").alias("a"), F.col("p.id").alias("b")).distinct())
     found = components(links)
     # What shares a bucket, is no centre of it and is in different components still has to be compared.
-    rest = buckets.where("c > 2").join(centres, "band").where("id <> a").join(found, F.col("id") == F.col("node"), "left")
-    rest = rest.select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    rest = save(rest.join(mixed, "band").join(traits, "id"), "rest")
-    # Shingles that few of these sets have make them apart.  Sets that share none of those have the rest in common at most; those that share some
-    # meet in a join on them, in which a shingle pairs RARE sets at most.  Either way no link is lost and the pairs of a group are not written out.
-    about = rest.select("id", "component", "n", *TRAITS).distinct()
-    held = texts.join(about.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "body").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
-    held = save(held, "rest-shingles")
-    rare = save(held.join(held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= RARE).select("h"), "h"), "rare")
-    about = about.join(rare.groupBy("id").agg(F.count("*").alias("own")), "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    about = save(about, "about")
-    p, q = F.col("p.shared"), F.col("q.shared")
-    enough = lambda common: 100 * common >= percent * (F.col("p.n") + F.col("q.n") - common)
-    apart = (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
-    ends = F.col("p.id").alias("a"), F.col("q.id").alias("b")
-    own = save(rest.groupBy("id").agg(F.collect_set("band").alias("bands")), "own-bands")  # BANDS at most
-    rest = rest.select("band", "id").join(about, "id").join(own, "id")
-    # Of the bands that two sets share, the least one answers for the pair.
-    answers = F.col("p.band") == F.array_min(F.array_intersect("p.bands", "q.bands"))
-    plain = rest.alias("p").join(rest.alias("q"), (F.col("p.band") == F.col("q.band")) & apart & enough(F.least(p, q)) & like("p", "q") & answers).select(*ends)
-    some = rare.join(about, "id")
-    met = some.alias("p").join(some.alias("q"), (F.col("p.h") == F.col("q.h")) & apart & like("p", "q"))
-    met = met.groupBy(*ends).agg(F.count("*").alias("o"), F.first(F.least(p, q)).alias("shared"), F.first(F.col("p.n") + F.col("q.n")).alias("sum"))
-    met = met.where(100 * (F.col("shared") + F.col("o")) >= percent * (F.col("sum") - F.col("shared") - F.col("o"))).select("a", "b")
-    more = verified(plain.union(met).distinct())
-    if not more.isEmpty():
-        found = components(links.union(more))
-    labelled = save(classes.join(found, F.col("class_id") == F.col("node"), "left").select("n", "f1", "f2", "class_id", "component"), "labelled")
+    known = members.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    about = ("id", "degree", "component", "n", *TRAITS, F.transform("bands", lambda e: e["band"]).alias("bands"))
+    known = known.select(*about, F.explode(F.filter("bands", lambda e: e["c"] > 2)).alias("e")).withColumn("band", F.col("e.band")).drop("e")
+    mixed = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("degree", "id")).getField("id").alias("a")).where("x < y")
+    rest = save(known.join(mixed, "band").where("id <> a").drop("x", "y", "a", "degree"), "rest", few=True)
+    merged = None if rest.isEmpty() else _residual(rest, texts, verified, like, n, percent)
+    classes = reps.select("n", "f1", "f2", "class_id").join(found, F.col("class_id") == F.col("node"), "left")
+    classes = classes.select("n", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component"))
+    if merged is not None:
+        classes = classes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").withColumn("component", F.coalesce("least", "component"))
+    # Written, so that Spark can split the join: the rows of a class meet only where its number is put on them.
+    labelled = save(classes.select("n", "f1", "f2", "class_id", "component"), "labelled", few=True)
     out = sketches.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
     of = lambda *c: F.when(F.col("doc_id").isNotNull(), F.coalesce(*c, "doc_id"))
     out = out.withColumns({"component_id": of("component", "class_id"), "class_id": of("class_id")})
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _residual(rest: DataFrame, texts: DataFrame, verified, like, n: int, percent: int) -> DataFrame | None:
+    """(node, component) of the components that links among rest join, or None.
+
+    Shingles that few of these sets have make them apart.  Two sets have no more in common than the fewer of their other shingles and what they share of
+    those: either they come from a join of their bucket with that bound, or from a join on those shingles, in which each pairs RARE sets at most.  So no link is
+    lost and the pairs of a group are not written out.
+    """
+    ids = rest.select(F.col("id").alias("doc_id")).distinct()
+    held = texts.join(ids, "doc_id", "left_semi").select("doc_id", "size", "body").mapInArrow(lambda it: _exploded(it, n), "id long, h long")
+    held = save(held, "rest-shingles", few=True)
+    rare = save(held.join(held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= RARE).select("h"), "h"), "rare", few=True)
+    own = rare.groupBy(F.col("id").alias("own_id")).agg(F.count("*").alias("own"))
+    sets = rest.join(own, F.col("id") == F.col("own_id"), "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "own_id")
+    enough = lambda common: 100 * common >= percent * (F.col("p.n") + F.col("q.n") - common)
+    least = F.least("p.shared", "q.shared")
+    apart = (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & like("p", "q")
+    # Of the bands that two sets share, the least one answers for the pair; one is no centre of it, or they have been compared.
+    answers = F.col("p.band") == F.array_min(F.array_intersect("p.bands", "q.bands"))
+    ends = F.col("p.id").alias("a"), F.col("q.id").alias("b")
+    plain = sets.alias("p").join(sets.alias("q"), (F.col("p.band") == F.col("q.band")) & apart & enough(least) & answers).select(*ends)
+    some = rare.join(sets.drop("band", "bands").dropDuplicates(["id"]), "id")
+    met = some.alias("p").join(some.alias("q"), (F.col("p.h") == F.col("q.h")) & apart)
+    met = met.groupBy(*ends).agg(F.count("*").alias("o"), F.first(least).alias("shared"), F.first(F.col("p.n") + F.col("q.n")).alias("sum"))
+    met = met.where(100 * (F.col("shared") + F.col("o")) >= percent * (F.col("sum") - F.col("shared") - F.col("o"))).select("a", "b")
+    more = verified(plain.union(met).distinct())
+    if more.isEmpty():
+        return None
+    # Only components are joined from here on.
+    of = rest.select("id", "component").distinct()
+    edges = more.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return components(edges)
+
+
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which one stays per group of near-duplicates (the least doc_id; of rows that repeat it, one).
-    Rows without words or id stay."""
-    gone = near_duplicates(docs, n, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = left.where("doc_id is not null").withColumn("__nth", F.row_number().over(nth)).where("__nth = 1").drop("__nth")
-    return first.unionByName(left.where("doc_id is null"))
+    """The rows of docs of which one stays per group of near-duplicates (the least doc_id; of rows that repeat it with the same text, one).
+    Rows without words or id stay; rows that repeat a doc_id with another text stay or go together."""
+    gone = near_duplicates(docs.select("doc_id", "text"), n, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return once(docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti"))
