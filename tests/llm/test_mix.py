@@ -23,6 +23,11 @@ def test_fit_of_large_budgets():
     for budget in (10, 70_000, 123_456_789, 900_000_000):
         assert int((fit(sizes, n, budget) * sizes).sum()) == budget
     assert fit(np.array([10**9]), np.array([3]), 2 * 10**9 + 5).tolist() == [2]
+    assert fit(np.array([10**9, 3]), np.array([3, 1]), 10**9 - 5).tolist() == [0, 1]
+    sizes, n = np.array([70_001, 90_002, 300_000]), np.array([3, 3, 2])
+    sums = {a * 70_001 + b * 90_002 + c * 300_000 for a in range(4) for b in range(4) for c in range(3)}
+    for budget in (400_000, 777_777, 950_123):
+        assert int((fit(sizes, n, budget, None) * sizes).sum()) == max(x for x in sums if x <= budget)
 
 
 def expected_targets(sizes, weights=(1, 2, 3), cap=3):
@@ -63,6 +68,9 @@ def test_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in mix(odd).collect()}
     assert mix(odd).count() == odd.count() and mix(none).count() == 0
     assert got[1]["taken"] == got[2]["taken"] == got[3]["taken"] == 0 and got[8]["size"] == 30_000
+    clash = odd.selectExpr("*", "1 AS each", "8 AS __n", "'k' AS nth", "2 AS own", "3 AS row", "4 AS `to`", "5 AS copies", "6 AS h", "7 AS __gone")
+    back = mixed(clash)
+    assert back.columns == clash.columns and {tuple(r[8:]) for r in back.collect()} == {(1, 8, "k", 2, 3, 4, 5, 6, 7)}
     again = mixed(odd)
     assert again.columns == odd.columns
     words = lambda df: sum(len((r["text"] or "").split()) for r in df.collect() if r["doc_id"] not in (6,))
