@@ -47,7 +47,7 @@ def test_shards_hold_every_document(spark, tmp_path):
     for first in (0, 7, len(rows) - 3):
         for slot, ids in zip(range(first, first + 3), tokens.read_slots(folder, first, 3, 64, 10), strict=True):
             assert ids.tobytes() == rows[slot]["record"]
-    assert not [p for p in os.listdir(tmp_path / "shards") if not p.endswith(".bin")]
+    assert not [p for p in os.listdir(tmp_path / "shards") if not p.endswith((".bin", ".parquet"))]
 
 
 def test_odd_rows(odd, none):

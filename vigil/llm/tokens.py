@@ -19,11 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_path, new_path, save, slim
+from .common import local_path, new_path, save, shuffles_removed, slim
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQUENCE, PER_SHARD, ROUNDS = 1024, 4096, 4
+#: Range partitions of one shuffle at most; beyond as many shards a task writes several, one after the other.
+PARTITIONS = 100_000
+#: Shares of the shards that stored() shuffles and writes one after the other, each with a shuffle of its own that is deleted before the next.
+SHARES = 2
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -90,28 +94,28 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: bytes, length: int, s
         yield flush()
 
 
-def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = 1) -> DataFrame:
-    """slot, shard, place, n_tokens, doc_ids and record of every sequence of docs (doc_id, text), range-partitioned and sorted by slot.
-
-    record holds ``length`` little-endian ids (two bytes each, four for vocabularies beyond 65,535), padded with the end-of-text id behind n_tokens; every document ends
-    with that id, and null text is empty.  doc_ids: the documents in a sequence, in order.  Rows that repeat are written each.  An empty table gives no rows; other columns
-    are not looked at.  Order within the corpus is that of the input's partitions, so equal inputs and splits give equal shards.  The token table is written once to the
-    shared folder; only counts per partition are summed, and compressed sequences are shuffled once.
-    """
+def _placed(docs: DataFrame, tokenizer: str, length: int, per_shard: int, key: int) -> tuple[DataFrame, int, int]:
+    """Compressed sequences with their slots, the number of all, and the end-of-text id."""
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     stop = vocabulary.count(b"\n") + (not vocabulary.endswith(b"\n"))
-    wide = stop > 0xFFFF
-    packed = save(slim(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _packed(it, vocabulary, length, stop, wide), PACKED), "tokens")
+    packed = save(slim(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _packed(it, vocabulary, length, stop, stop > 0xFFFF), PACKED), "tokens")
     counts = packed.groupBy("part").agg(F.count("*").alias("c"))
     n = counts.agg(F.sum("c")).first()[0] or 0
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each input partition
     base = counts.select("part", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("base"))
     slot = F.pandas_udf(lambda s: pd.Series(feistel(s.to_numpy(np.int64), n, key)), "long")
     placed = packed.join(F.broadcast(base), "part").withColumn("slot", slot(F.col("base") + F.col("nth")))
-    placed = placed.select("slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), F.pmod("slot", F.lit(per_shard)).alias("place"), "n_tokens", "doc_ids", "body")
-    parts = max(1, min(-(-n // per_shard), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    return placed.select("slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), F.pmod("slot", F.lit(per_shard)).alias("place"), "n_tokens", "doc_ids", "body"), n, stop
+
+
+def _ordered(placed: DataFrame, first: int, stop_before: int, stop: int, length: int) -> DataFrame:
+    """The shards from first to before stop_before as range partitions of whole shards, sorted by slot, with the records as they are written.
+    Shards are of one size, so their numbers are the bounds of the ranges."""
+    wide, shards = stop > 0xFFFF, max(1, stop_before - first)
+    each = -(-shards // PARTITIONS)
+    own = placed.where((F.col("shard") >= first) & (F.col("shard") < stop_before))
+    ranged = own.repartitionById(-(-shards // each), F.floor((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("slot")
     size = 4 if wide else 2
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,34 +129,51 @@ def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENC
     return ranged.mapInArrow(unpacked, "slot long, shard long, place long, n_tokens long, doc_ids array<long>, record binary")
 
 
+def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = 1) -> DataFrame:
+    """slot, shard, place, n_tokens, doc_ids and record of every sequence of docs (doc_id, text), range-partitioned and sorted by slot.
+
+    record holds ``length`` little-endian ids (two bytes each, four for vocabularies beyond 65,535), padded with the end-of-text id behind n_tokens; every document ends
+    with that id, and null text is empty.  doc_ids: the documents in a sequence, in order; a text of any length takes as many sequences as it needs.  Rows that repeat are written each.
+    An empty table gives no rows; other columns are not looked at, whatever they are called.  Order within the corpus is that of the input's partitions, so equal inputs and splits give
+    equal shards.  The token table is written once to the shared folder; only counts per partition are summed, and compressed sequences are shuffled once.
+    """
+    placed, n, stop = _placed(docs, tokenizer, length, per_shard, key)
+    return _ordered(placed, 0, -(-n // per_shard), stop, length)
+
+
 MANIFEST = "shard long, path string, first_slot long, records long, bytes long, sha256 string, n_tokens array<long>, doc_ids array<array<long>>"
 
 
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the records of sequences() as folder/shard-N.bin, N the shard: record ``place`` starts at place * stride.
 
-    One row per shard: shard, path, first_slot, records, bytes, sha256, and n_tokens and doc_ids of its records in order.  folder must be mounted on every host.  A task writes whole shards to a file of its own
-    and renames it, so retries and lost executors leave whole files only.
+    One row per shard in folder: shard, path, first_slot, records, bytes, sha256, and n_tokens and doc_ids of its records in order, which stands beside the shard as shard-N.parquet.  folder must
+    be mounted on every host.  A task writes whole shards to files of its own and renames them, the row last, so retries and lost executors leave whole files only.
     """
     to = local_path(folder)
+    os.makedirs(to, exist_ok=True)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(to, exist_ok=True)
-        now, out = None, []
+        import pyarrow.parquet as pq
+
+        now, done = None, 0
 
         def close() -> None:
             shard, f, path, first, n, size, digest, lengths, owners = now
             f.close()
             os.replace(f.name, path)
-            out.append((shard, path, first, n, size, digest.hexdigest(), lengths, owners))
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            row = (shard, path, first, n, size, digest.hexdigest(), lengths, owners)
+            pq.write_table(pa.table([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["shard", "path", "first_slot", "records", "bytes", "sha256", "n_tokens", "doc_ids"]), f.name, compression="zstd")
+            os.replace(f.name, f"{path.removesuffix('.bin')}.parquet")
 
         for batch in batches:
             for shard, slot, record, k, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record", "n_tokens", "doc_ids")), strict=True):
                 if now is None or now[0] != shard:
                     if now is not None:
                         close()
-                    path = f"{to}/shard-{shard:08d}.bin"
-                    now = [shard, open(f"{path}.{os.getpid()}.{TaskContext.get().taskAttemptId()}", "wb"), path, slot, 0, 0, hashlib.sha256(), [], []]  # noqa: SIM115
+                    path, done = f"{to}/shard-{shard:08d}.bin", done + 1
+                    now = [shard, open(f"{to}/_{shard:08d}.{os.getpid()}.{TaskContext.get().taskAttemptId()}", "wb"), path, slot, 0, 0, hashlib.sha256(), [], []]  # noqa: SIM115
                 now[1].write(record)
                 now[4] += 1
                 now[5] += len(record)
@@ -161,11 +182,12 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
                 now[8].append(ids)
         if now is not None:
             close()
-        if out:
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "path", "first_slot", "records", "bytes", "sha256", "n_tokens", "doc_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["shards"])
 
-    return save(ordered.mapInArrow(written, MANIFEST), "shards")
+    spark = ordered.sparkSession
+    with shuffles_removed(spark):
+        ordered.mapInArrow(written, "shards long").agg(F.sum("shards")).collect()
+    return spark.read.schema(MANIFEST).option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -188,13 +210,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         columns = (pa.array(row["first_slot"] + place), pa.array(np.full(k, row["shard"])), pa.array(place), pa.array(row["n_tokens"][at : at + k], pa.int64()), pa.array(row["doc_ids"][at : at + k], pa.list_(pa.int64())), pa.array(records, pa.binary()))
                         yield pa.RecordBatch.from_arrays(list(columns), names)
 
-    parts = max(1, min(manifest.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.repartitionByRange(parts, "shard").sortWithinPartitions("shard").mapInArrow(read, "slot long, shard long, place long, n_tokens long, doc_ids array<long>, record binary")
+    shards = max(1, manifest.count())
+    each = -(-shards // PARTITIONS)
+    return manifest.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard").mapInArrow(read, "slot long, shard long, place long, n_tokens long, doc_ids array<long>, record binary")
 
 
 def stored(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = 1) -> DataFrame:
-    """The rows of sequences(), written as shards to a new folder of the shared one and read back from these files."""
-    return read_shards(write_shards(sequences(docs, tokenizer, length, per_shard, key), new_path(docs.sparkSession, "token-shards")))
+    """The rows of sequences(), written as shards to a new folder of the shared one and read back from these files; see there for odd rows."""
+    folder = new_path(docs.sparkSession, "token-shards")
+    placed, n, stop = _placed(docs, tokenizer, length, per_shard, key)
+    shards = -(-n // per_shard)
+    for i in range(SHARES):
+        manifest = write_shards(_ordered(placed, i * shards // SHARES, (i + 1) * shards // SHARES, stop, length), folder)
+    return read_shards(manifest)
 
 
 def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE, per_shard: int = PER_SHARD, wide: bool = False) -> Iterator[np.ndarray]:
