@@ -1,3 +1,4 @@
+import math
 import random
 
 from llm_helpers import ODD, prose
@@ -33,6 +34,42 @@ DOCS = "doc_id long, host string, path string, text string, kind string"
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def shrunk(rows):
+    """(host, path, p) -> the posterior of each row's path without the row itself, and the whole mean, by plain sums."""
+    def strength(groups):
+        n = sum(len(g) for g in groups)
+        mu = sum(map(sum, groups)) / n
+        mm = sum(sum(g) ** 2 / len(g) for g in groups)
+        within = max(0, sum(p * p for g in groups for p in g) - mm) / max(1, n - len(groups))
+        between = max(0, mm / n - mu * mu - within * (len(groups) - 1) / n)
+        return mu, min(1e4, max(1, within / between if between else 1e4))
+
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    (mu, kh), (_, kp) = strength(list(hosts.values())), strength(list(paths.values()))
+    out = []
+    for h, q, p in rows:
+        host = (sum(hosts[h]) - p + kh * mu) / (len(hosts[h]) - 1 + kh)
+        out.append((sum(paths[h, q]) - p + kp * host) / (len(paths[h, q]) - 1 + kp))
+    return mu, out
+
+
+def test_posteriors_against_plain_sums(spark):
+    docs, labels = corpus()
+    docs += [(5000, "tiny", "x", docs[0][3], "good"), (5001, None, None, docs[1][3], "good")]
+    site = {d[0]: (d[1] or "", d[2] or "") for d in docs}
+    got = classify(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    for head in ("low", "toxic"):
+        mu, want = shrunk([(*site[r["doc_id"]], r[f"doc_{head}"]) for r in got])
+        for r, s in zip(got, want, strict=True):
+            assert abs(r[f"site_{head}"] - s) < 1e-4
+            logit = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+            z = logit(r[f"doc_{head}"]) + max(-2, min(2, logit(s) - math.log(mu / (1 - mu))))
+            assert abs(r[f"p_{head}"] - 1 / (1 + math.exp(-z))) < 1e-2
+
+
 def test_held_out_accuracy(spark):
     docs, labels = corpus()
     df, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)

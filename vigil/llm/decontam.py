@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, save
+from .common import BLANKS, let, save, unused
 
 WIDTH = 5
 #: Bits that the fingerprints of a window and an item may differ in; similarity 0.8 differs in 10 on average, 24 is five deviations more.
 RADIUS, BLOCKS = 24, 13
-#: Item shingles that may be broadcast (16 bytes each); more are joined by a shuffle.
+#: Item shingles (or words, or entries of the index) that may be broadcast, 40 bytes each at most beside the words' own letters; more are joined by a shuffle.
 BROADCAST = 1_000_000
 _CUTS = [(64 * b // BLOCKS, 64 * (b + 1) // BLOCKS) for b in range(BLOCKS)]
 
@@ -70,6 +70,10 @@ def _block(f: Column, b: int) -> Column:
     return F.shiftrightunsigned(f, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
+def _neighbour(f: Column, b: int, flip: int) -> Column:
+    return _block(f, b).bitwiseXOR(F.lit(flip))
+
+
 def _hashes(w: Column, n: Column, width: int) -> Column:
     return F.transform(_positions(n, width), lambda i: F.xxhash64(*_at(w, i, width)))
 
@@ -86,9 +90,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
         raise ValueError(f"the blocks guarantee a radius below {2 * BLOCKS}")
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     items = save(items.withColumn("width", F.least("n", F.lit(WIDTH))), "items")
-    shape = items.agg(F.collect_set("width").alias("widths"), F.max("n").alias("most"), F.sum(F.col("n") - F.col("width") + 1).alias("shingles")).first()
+    shape = items.agg(F.collect_set("width").alias("widths"), F.max("n").alias("most"), F.count("*").alias("items"), F.sum(F.col("n") - F.col("width") + 1).alias("shingles")).first()
     planes = max(1, int(shape["most"] or 0).bit_length())
-    broad = F.broadcast if (shape["shingles"] or 0) <= BROADCAST else (lambda df: df)
+    # Each item has 77 entries of 40 bytes in the index and its words are at most as many as its shingles and four more.
+    small = (shape["shingles"] or 0) + 4 * (shape["items"] or 0) <= BROADCAST
+    broad = F.broadcast if small else (lambda df: df)
+    sent = F.broadcast if small and 77 * (shape["items"] or 0) <= BROADCAST else (lambda df: df)
     own_id = ["doc_id", "row"] if by_row else ["doc_id"]
     out = None
     for width in sorted(shape["widths"] or [WIDTH]):
@@ -115,14 +122,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
         prints = lambda df: df.withColumn("print", _simhash(_hashes(F.col("w"), F.size("w"), width), F.size("w") - width + 1, planes))  # noqa: E731, B023
         found = save(prints(found), "windows")
         blocks = lambda values: F.explode(F.array(*[F.struct(F.lit(b).alias("block"), v.alias("value")) for b, v in values]))
-        near = [(b, _block(F.col("print"), b).bitwiseXOR(F.lit(x))) for b, (low, high) in enumerate(_CUTS) for x in (0, *(1 << i for i in range(high - low)))]
-        index = prints(own).select("item_id", F.col("n").alias("item_n"), F.col("w").alias("item_w"), F.col("print").alias("item_print"), blocks(near).alias("b")).select("item_id", "item_n", "item_w", "item_print", "b.block", "b.value")
+        near = [(b, x) for b, (low, high) in enumerate(_CUTS) for x in (0, *(1 << i for i in range(high - low)))]
+        marked = save(prints(own).select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("n").alias("item_n"), F.col("w").alias("item_w"), F.col("print").alias("item_print")), "item-prints")
+        index = marked.select("item", F.col("item_n").alias("entry_n"), F.col("item_print").alias("entry_print"), blocks([(b, _neighbour(F.col("item_print"), b, x)) for b, x in near]).alias("b")).select("item", "entry_n", "entry_print", "b.block", "b.value")
         probes = found.select(*own_id, "start", "n", "length", "w", "print", blocks([(b, _block(F.col("print"), b)) for b in range(BLOCKS)]).alias("b")).select(*own_id, "start", "n", "length", "w", "print", "b.block", "b.value")
-        apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-        pairs = probes.alias("p").join(broad(index).alias("i"), (F.col("p.block") == F.col("i.block")) & (F.col("p.value") == F.col("i.value")) & (F.col("p.n") == F.col("i.item_n")) & (apart <= radius))
+        apart = F.bit_count(F.col("print").bitwiseXOR(F.col("entry_print")))
+        # Index entries are five numbers each; the words of an item are joined to the pairs within the radius.
+        pairs = probes.alias("p").join(sent(index).alias("i"), (F.col("p.block") == F.col("i.block")) & (F.col("p.value") == F.col("i.value")) & (F.col("p.n") == F.col("i.entry_n")) & (apart <= radius))
         # Of the blocks in which a pair agrees, the first one answers for it.
-        first = F.least(*[F.when(F.bit_count(_block(F.col("print").bitwiseXOR(F.col("item_print")), b)) <= 1, F.lit(b)) for b in range(BLOCKS)])
-        pairs = pairs.where(F.col("p.block") == first)
+        first = F.least(*[F.when(F.bit_count(_block(F.col("print").bitwiseXOR(F.col("entry_print")), b)) <= 1, F.lit(b)) for b in range(BLOCKS)])
+        pairs = pairs.where(F.col("p.block") == first).select(*own_id, "start", "length", "w", "item")
+        pairs = pairs.join(broad(marked.select("item", "item_id", "item_w")), "item")
         a, b = _shingles(F.col("w"), F.size("w"), width), _shingles(F.col("item_w"), F.size("item_w"), width)
         exact = pairs.select(*own_id, "item_id", "start", "length", F.size(F.array_intersect(a, b)).alias("both"), (F.size("w") + F.size("item_w") - 2 * (width - 1)).alias("all"))
         good = exact.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("all") - F.col("both")))
@@ -134,6 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item; of rows that share a doc_id, or have none, only those whose text holds one go."""
-    gone = contaminated(docs, benchmark, by_row=True).select(F.col("doc_id").alias("__gone"), F.col("row").alias("__row")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__row")), "left_anti")
+    """The rows of docs that hold no benchmark item; of rows that share a doc_id, or have none, only those whose text holds one go.
+    Null, empty and blank texts stay, as do all rows if the benchmark is empty; other columns come back as they are, whatever they are called."""
+    own = unused("own", docs)
+    gone = contaminated(docs.select("doc_id", "text"), benchmark, by_row=True).select(F.struct("doc_id", "row").alias(own)).distinct()
+    return docs.withColumn(own, F.struct("doc_id", F.xxhash64("text").alias("row"))).join(gone, own, "left_anti").drop(own)

@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slim
+from .common import save, slim, unused
 
 #: Labelled documents that the classifier is fitted on at most (those of least hash); documents that must share a feature; deviations by which a feature has to
-#: stand out between the labels; features that a head may use, those that stand out most.
-SAMPLE, LEAST, DEVIATIONS, FEATURES = 8_000, 2, 3.0, 20_000
+#: stand out between the labels.
+SAMPLE, LEAST, DEVIATIONS = 8_000, 2, 3.0
 #: The ridge of a feature that stands out by CLEAR deviations or more; one that stands out less is held back by this power of the shortfall.
 RIDGE, CLEAR, POWER = 0.02, 5.0, 12
 #: Bounds of the evidence and of what a site may add to it, in logits.
@@ -81,7 +81,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "low", "toxic", "features"])
 
 
-def _telling(sample: DataFrame, head: str) -> dict[int, float]:
+def _telling(sample: DataFrame, head: str, most: int | None) -> dict[int, float]:
     """The features whose share of positive documents stands out from the sample's, and by how many deviations."""
     base = sample.agg(F.count("*").alias("n"), F.avg(head).alias("p")).first()
     p = base["p"] or 0.0
@@ -89,7 +89,8 @@ def _telling(sample: DataFrame, head: str) -> dict[int, float]:
         return {}
     counts = sample.select(head, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum(head).alias("k")).where(F.col("n") >= LEAST)
     z = F.abs(F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    return {r["f"]: r["z"] for r in counts.withColumn("z", z).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "f").limit(FEATURES).collect()}
+    found = counts.withColumn("z", z).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "f")
+    return {r["f"]: r["z"] for r in (found if most is None else found.limit(most)).collect()}
 
 
 def _fit(rows: list[list[int]], z: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -116,7 +117,7 @@ def _scored(batches: Iterator[pa.RecordBatch], known: dict[int, int], weights: n
     for batch in batches:
         z = np.array([weights[features(t.as_py(), index)].sum(axis=0) for t in batch.column("text")], np.float64).reshape(-1, len(HEADS)) + weights[-1]
         z = np.clip(z, -STRONG, STRONG)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *(pa.array(z[:, i]) for i in range(len(HEADS)))], ["doc_id", "host", "path", *(f"z_{h}" for h in HEADS)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("host"), batch.column("path"), *(pa.array(z[:, i]) for i in range(len(HEADS)))], ["doc_id", "row", "host", "path", *(f"z_{h}" for h in HEADS)])
 
 
 def _p(z: Column) -> Column:
@@ -140,29 +141,35 @@ def _strength(groups: DataFrame, head: str) -> tuple[float, float]:
     return mu, min(1e4, max(1.0, within / between if between > 0 else 1e4))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int | None = None) -> DataFrame:
     """Every row of docs (doc_id, host, path, text) with its evidence, its site's posteriors and kept.
 
     labels (doc_id, quality, toxic) may cover any part of docs; rows with a null label are passed over and at most ``sample`` labelled documents, those of least
     hash, are fitted on.  p_low and p_toxic are combined probabilities; kept: both are below one half.  Null text is empty; a null host or
     path is a site of its own.  Without labels of both kinds a head finds nothing, so all are kept.  Rows that repeat are scored each.
-    Other columns are not looked at.  Groups are summed before they are joined, and a hot host is split by its paths and by partial sums.
+    ``most_features``: features that a head may use, those that stand out most; None: all that stand out, which the sample bounds.  Texts of any length are taken
+    whole; a tie at one half is rejected; an empty table gives no rows.  Other columns are not looked at, whatever they are called.  Groups are summed before they are joined, and a hot host is split by its paths and by partial sums.
     """
-    docs = slim(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), "text")
+    return _classified(docs.withColumn("row", F.lit(0).cast("long")), labels, sample, most_features).drop("row")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, sample: int, most_features: int | None) -> DataFrame:
+    """classify() with the column row of docs."""
+    docs = slim(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), F.col("row"), "text")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((1 - F.min("quality")).cast("double").alias("low"), F.max("toxic").cast("double").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of three numbers are broadcast.
     fitted = docs.join(F.broadcast(known), "doc_id").select("doc_id", "low", "toxic", "text").mapInArrow(_encoded, "doc_id long, low double, toxic double, features array<long>")
     fitted = save(fitted.dropDuplicates(["doc_id"]), "labelled")
     # Of the sample only its telling features come to the driver.
-    telling = {h: _telling(fitted, h) for h in HEADS}
+    telling = {h: _telling(fitted, h, most_features) for h in HEADS}
     numbers = {f: i for i, f in enumerate(dict.fromkeys(f for h in HEADS for f in telling[h]))}
     chosen = docs.sparkSession.createDataFrame([(f, i) for f, i in numbers.items()], "f long, i int")
     found = fitted.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("own"))
     rows = sorted(fitted.select("doc_id", *HEADS).join(found, "doc_id", "left").collect(), key=lambda r: r["doc_id"])
     own = [r["own"] or [] for r in rows]
     weights = np.stack([_fit(own, np.array([telling[h].get(f, 0.0) for f in numbers]), np.array([r[h] for r in rows])) for h in HEADS], axis=1)
-    scores = save(docs.select("doc_id", "host", "path", "text").mapInArrow(lambda it: _scored(it, numbers, weights), "doc_id long, host string, path string, z_low double, z_toxic double"), "quality")
+    scores = save(docs.select("doc_id", "row", "host", "path", "text").mapInArrow(lambda it: _scored(it, numbers, weights), "doc_id long, row long, host string, path string, z_low double, z_toxic double"), "quality")
     sums = [e for h in HEADS for e in (F.sum(_p(F.col(f"z_{h}"))).alias(f"s_{h}"), F.sum(_p(F.col(f"z_{h}")) ** 2).alias(f"q_{h}"))]
     paths = save(scores.groupBy("host", "path").agg(F.count("*").alias("n"), *sums), "paths")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", *(f"{k}_{h}" for h in HEADS for k in "sq"))])
@@ -178,11 +185,14 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         shift = F.greatest(F.lit(-SITE), F.least(F.lit(SITE), _logit(path) - float(np.log(mu / (1 - mu)))))
         out = out.withColumns({f"site_{h}": path, f"p_{h}": _p(F.col(f"z_{h}") + shift)})
     kept = (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5)
-    return out.select("doc_id", *[F.round(_p(F.col(f"z_{h}")), 6).alias(f"doc_{h}") for h in HEADS], *[F.round(f"site_{h}", 6).alias(f"site_{h}") for h in HEADS], *[F.round(f"p_{h}", 6).alias(f"p_{h}") for h in HEADS], kept.alias("kept"))
+    return out.select("doc_id", "row", *[F.round(_p(F.col(f"z_{h}")), 6).alias(f"doc_{h}") for h in HEADS], *[F.round(f"site_{h}", 6).alias(f"site_{h}") for h in HEADS], *[F.round(f"p_{h}", 6).alias(f"p_{h}") for h in HEADS], kept.alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier keeps; rows that share a doc_id go together if any is rejected."""
-    verdict = classify(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text"), labels, sample)
-    gone = verdict.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, most_features: int | None = None) -> DataFrame:
+    """The rows of docs that the classifier keeps; of rows that share a doc_id, or have none, those whose text is rejected go.
+    Other columns come back as they are, whatever they are called; an empty table gives no rows."""
+    own = unused("own", docs)
+    row = F.struct("doc_id", F.col(host), F.col(path), F.xxhash64("text"))
+    verdict = _classified(docs.select("doc_id", F.xxhash64(row).alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), "text"), labels, sample, most_features)
+    gone = verdict.where("not kept").select(F.struct(F.col("doc_id"), F.col("row")).alias(own)).distinct()
+    return docs.withColumn(own, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(row).alias("row"))).join(gone, own, "left_anti").drop(own)
