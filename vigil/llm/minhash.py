@@ -28,6 +28,8 @@ K = BANDS * ROWS
 MOST_APART = 53
 TRAITS = ("s0", "s1", "s2", "u0", "u1", "u2")
 CHUNK = 1 << 15
+#: Ids of documents that may be broadcast (8 bytes each) to choose texts where they are read; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Sets that share a rare shingle at most.
 RARE = 8
 
@@ -182,8 +184,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80, most_apart:
     mine = entries.join(shared, "band").groupBy("id").agg(F.collect_set(F.struct("band", "c")).alias("bands"), F.sum("c").alias("degree"))  # BANDS of them at most
     traits = reps.groupBy(F.col("class_id").alias("id")).agg(F.min(F.struct("n", *TRAITS)).alias("t")).select("id", "t.*")
     members = save(mine.join(traits, "id"), "members", few=True)  # the classes that share a bucket
-    texts = docs.mapInArrow(_compressed, "doc_id long, size long, body binary").join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = save(texts, "texts")
+    chosen = members.select(F.col("id").alias("doc_id"))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
+    texts = save(docs.join(chosen, "doc_id", "left_semi").mapInArrow(_compressed, "doc_id long, size long, body binary").dropDuplicates(["doc_id"]), "texts")
 
     def like(p: str, q: str):
         differ = lambda t: F.col(f"{p}.{t}").bitwiseXOR(F.col(f"{q}.{t}"))
