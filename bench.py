@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from vigil import catalogue, robustness  # noqa: E402
+from vigil import TraceFrame, catalogue, dtype, robustness  # noqa: E402
 
 NESTED = "G[0,86400]((value > 350.0) -> F[0,86400]((value < 150.0) & G[0,7200](value < 400.0)))"
 
@@ -24,7 +24,14 @@ def nested_spec(spark, sf_dir):
     return robustness(NESTED, catalogue.events(spark, sf_dir), "constant", grid="samples")
 
 
-QUERIES = {n: catalogue.QUERIES[n] for n in ("always", "eventually", "eventually_timed", "until", "until_timed", "parsed_spec", "parsed_spec_exact", "eventually_exact", "until_exact", "interp_linear")} | {"nested_spec": nested_spec}
+def long_traces(spark, sf_dir):
+    """All events of a kind as one trace, windows of a tenth of it."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    frame = TraceFrame(df, "event_type", "ts", {"value": ("value", dtype.float64)}, aligned=True)
+    return robustness("F[0,259200](value > 350.0)", frame, "constant", grid="samples", wide=True)
+
+
+QUERIES = {n: catalogue.QUERIES[n] for n in ("always", "eventually", "eventually_timed", "until", "until_timed", "parsed_spec", "parsed_spec_exact", "eventually_exact", "until_exact", "interp_linear")} | {"nested_spec": nested_spec, "long_traces": long_traces}
 
 
 def main() -> None:

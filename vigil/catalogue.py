@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import numeric
 from .functions.interpolation import METHODS
-from .operators import align, temporal
+from .operators import align, logic, temporal
 from .operators.evaluate import numbers, robustness, satisfaction
-from .plans.ast import Always, ConstFloat, ConstInt, Eventually, ExprBuilder, Next, Until, VarBool, VarFloat, VarInt
+from .plans.ast import Always, ConstFloat, ConstInt, ConstUInt, Eventually, ExprBuilder, Next, Until, VarBool, VarFloat, VarInt, VarUInt
 from .plans.parser import parse_expr
 from .sources.frames import TraceFrame
 from .types import dtype
@@ -41,7 +41,7 @@ def events(spark: SparkSession, sf_dir: str) -> TraceFrame:
     """One trace for each user; value, and a truth value for each kind of event."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = {k: (F.col("event_type") == k, dtype.bool_) for k in ("click", "view", "purchase", "signup", "error")}
-    return TraceFrame(df, "user_id", "ts", {"value": ("value", dtype.float64), "cents": (F.floor(F.col("value") * 100).cast("long"), dtype.int64), **kinds}, aligned=True)
+    return TraceFrame(df, "user_id", "ts", {"value": ("value", dtype.float64), "cents": (F.floor(F.col("value") * 100).cast("long"), dtype.int64), "whole": (F.floor(F.col("value")).cast("decimal(20,0)"), dtype.uint64), **kinds}, aligned=True)
 
 
 def talks(spark: SparkSession, sf_dir: str) -> TraceFrame:
@@ -83,8 +83,7 @@ def at_exact(spark, sf_dir):
 @registered(f"{_E} SELECT trace, count(*) FILTER (k = 'signup') = 0 AS no_signups FROM e GROUP BY trace")
 def is_empty(spark, sf_dir):
     e = events(spark, sf_dir)
-    found = e.rows.select("trace").distinct().join(align.bounds(_only(e, "signup")), "trace", "left")
-    return found.select("trace", F.col("n").isNull().alias("no_signups"))
+    return align.is_empty(_only(e, "signup"), e.rows).withColumnRenamed("empty", "no_signups")
 
 
 @registered("SELECT user_id AS trace, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY user_id")
@@ -184,7 +183,7 @@ def _signal(name: str, f, sql: str) -> None:
     registered(f"{_E} SELECT trace, t, {sql} AS v FROM e")(query)
 
 
-_signal("num_pow", lambda c: F.round(F.pow(c, F.lit(2.0)), 6), "round(pow(v, 2), 6)")
+_signal("num_pow", lambda c: F.round(numeric.power(c / 100.0, F.lit(2.5)), 6), "round(pow(v / 100, 2.5), 6)")
 _signal("num_cast", lambda c: numeric.cast(c, dtype.int64), "CAST(trunc(v) AS BIGINT)")
 _signal("num_div_zero", lambda c: numeric.divide(c, F.lit(0.0)) > 1e300, "v > 0")
 
@@ -224,6 +223,72 @@ def bool_signals(spark, sf_dir):
     return satisfaction(~VarBool("error") & (VarBool("view") | (V >= 100.0)), events(spark, sf_dir), "constant")
 
 
+@registered(f"{_E} SELECT trace, t, NOT (k = 'error') AND (k = 'view' OR k <> 'click') AS both, (k = 'view') <> (k = 'click') AS one, k <> 'error' OR k = 'view' AS follows FROM e")
+def bool_operators(spark, sf_dir):
+    """Connectives of signals, without a formula."""
+    e = events(spark, sf_dir)
+    error, view, click = (e.table(k, dtype.bool_) for k in ("error", "view", "click"))
+    both = logic.and_(logic.not_(error), logic.or_(view, logic.not_(click)))
+    found = both.withColumnRenamed("v", "both").join(logic.xor(view, click).withColumnRenamed("v", "one"), ["trace", "t"])
+    return found.join(logic.implies(error, view).withColumnRenamed("v", "follows"), ["trace", "t"])
+
+
+_number("num_uint", VarUInt("whole") + ConstUInt(7), "floor(v) + 7")
+
+
+# --- between samples: linear interpolation on the exact grid, read at the samples ---
+
+
+def _line(d: str) -> str:
+    """p: the samples of d, and the times at which a line through them crosses zero."""
+    return f"""{_E}, d AS (SELECT trace, t, {d} AS d FROM e), l AS (SELECT *, lag(t) OVER w AS t0, lag(d) OVER w AS d0 FROM d {_W}),
+m AS (SELECT trace, t0 + CAST(round_even((t - t0)::DOUBLE * (d0 / (d0 - d)), 0) AS BIGINT) AS t, t0, t AS t1 FROM l WHERE d0 * d < 0),
+p AS (SELECT trace, t, 0.0 AS d, false AS own FROM m WHERE t > t0 AND t < t1 UNION ALL SELECT trace, t, d, true FROM d)"""
+
+
+def _linear(spec, spark, sf_dir) -> DataFrame:
+    e = events(spark, sf_dir)
+    out = robustness(spec, e, "linear").join(e.rows.select("trace", "t"), ["trace", "t"])
+    return out.withColumn("rob", F.round("rob", 6) + 0.0)
+
+
+def _untimed_linear(name: str, spec, f: str, d: str) -> None:
+    def query(spark, sf_dir):
+        return _linear(spec, spark, sf_dir)
+
+    query.__name__ = name
+    w = "OVER (PARTITION BY trace ORDER BY t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    registered(f"{_line(d)} SELECT trace, t, round(z, 6) + 0.0 AS rob FROM (SELECT trace, t, own, {f}(d) {w} AS z FROM p) WHERE own")(query)
+
+
+_untimed_linear("always_linear", Always(V < 400.0), "min", "400 - v")
+_untimed_linear("eventually_linear", Eventually(V > 480.0), "max", "v - 480")
+
+
+def _timed_linear(name: str, spec, f: str, best: str, d: str, b: int) -> None:
+    def query(spark, sf_dir):
+        return _linear(spec, spark, sf_dir)
+
+    query.__name__ = name
+    w = f"OVER (PARTITION BY trace ORDER BY t RANGE BETWEEN CURRENT ROW AND {b} FOLLOWING)"
+    registered(
+        f"""{_line(d)}, i AS (SELECT trace, t, own, {f}(d) {w} AS z FROM p), q AS (SELECT trace, t, z, t + {b} AS x FROM i WHERE own),
+f AS (SELECT q.*, d.t AS t1, d.d AS d1 FROM q ASOF LEFT JOIN d ON q.trace = d.trace AND q.x >= d.t), g AS (SELECT f.*, d.t AS t2, d.d AS d2 FROM f ASOF LEFT JOIN d ON f.trace = d.trace AND f.x <= d.t)
+SELECT trace, t, round({best}(z, CASE WHEN t2 IS NOT NULL THEN CASE WHEN t1 = t2 THEN d1 ELSE d1 + (d2 - d1) * ((x - t1)::DOUBLE / (t2 - t1)::DOUBLE) END END), 6) + 0.0 AS rob FROM g"""
+    )(query)
+
+
+_timed_linear("eventually_timed_linear", Eventually(V > 250.0, interval=(0, 86400)), "max", "greatest", "v - 250", DAY)
+_timed_linear("always_timed_linear", Always(V < 300.0, interval=(0, 7200)), "min", "least", "300 - v", 2 * HOUR)
+
+
+@registered(f"{_line('v - (500 - floor(v))')} SELECT trace, t, round(-abs(d), 5) + 0.0 AS rob FROM p")
+def cmp_eq_linear(spark, sf_dir):
+    """Two signals, with the times at which they cross."""
+    out = robustness(V == 500.0 - VarUInt("whole"), events(spark, sf_dir), "linear")
+    return out.withColumn("rob", F.round("rob", 5) + 0.0)
+
+
 # --- temporal operators ---
 
 
@@ -237,9 +302,9 @@ def oracle_k(spark, sf_dir):
     return satisfaction(_B.oracle(VarBool("user"), 2), talks(spark, sf_dir), "constant", grid="samples")
 
 
-def _window(name: str, spec, sql: str, grid: str = "samples") -> None:
+def _window(name: str, spec, sql: str, **how) -> None:
     def query(spark, sf_dir):
-        return _rounded(robustness(spec, events(spark, sf_dir), "constant", grid=grid), "rob")
+        return _rounded(robustness(spec, events(spark, sf_dir), "constant", **{"grid": "samples"} | how), "rob")
 
     query.__name__ = name
     registered(f"{_E} SELECT * FROM (SELECT trace, t, round({sql}, 6) AS rob FROM e) WHERE rob IS NOT NULL")(query)
@@ -254,6 +319,8 @@ _window("always", Always(V < 400.0), _over("min", "400 - v", _NOW, _END))
 _window("eventually", Eventually(V < 100.0), _over("max", "100 - v", _NOW, _END))
 _window("always_timed", Always(V < 400.0, interval=(0, 7200)), _over("min", "400 - v", _NOW, f"{2 * HOUR} FOLLOWING"))
 _window("eventually_timed", Eventually(V > 400.0, interval=(3600, 86400)), _over("max", "v - 400", f"{HOUR} FOLLOWING", f"{DAY} FOLLOWING"))
+_window("eventually_wide", Eventually(V > 400.0, interval=(3600, 86400)), _over("max", "v - 400", f"{HOUR} FOLLOWING", f"{DAY} FOLLOWING"), wide=True)
+_window("always_wide", Always(V < 400.0, interval=(0, 7200)), _over("min", "400 - v", _NOW, f"{2 * HOUR} FOLLOWING"), wide=True)
 _window("eventually_from", Eventually(V > 400.0, interval=(86400, None)), _over("max", "v - 400", f"{DAY} FOLLOWING", _END))
 _window("always_exact", Always(V < 400.0), _over("min", "400 - v", _NOW, _END), grid="exact")
 

@@ -19,6 +19,11 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
 
 
+def power(a: Column, b: Column) -> Column:
+    """a to the power of b; a negative base to a fraction is not a number."""
+    return F.pow(a.cast("double"), b.cast("double"))
+
+
 def truth(v: Column) -> Column:
     """A truth value as robustness."""
     return F.when(v, F.lit(INF)).otherwise(F.lit(-INF))

@@ -25,6 +25,12 @@ def bounds(s: DataFrame) -> DataFrame:
     return s.groupBy("trace").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
 
 
+def is_empty(s: DataFrame, traces: DataFrame) -> DataFrame:
+    """trace, empty: whether the signal has no sample there, for each of the traces (trace)."""
+    found = traces.select("trace").distinct().join(s.select("trace").distinct().withColumn("found", F.lit(True)), "trace", "left")
+    return found.select("trace", F.col("found").isNull().alias("empty"))
+
+
 def time_points(s: DataFrame) -> DataFrame:
     return s.select("trace", "t")
 

@@ -209,10 +209,10 @@ class Exact:
 class Samples:
     """Nodes become columns of one frame; values between samples are not looked at."""
 
-    def __init__(self, frame: TraceFrame, strict: bool):
+    def __init__(self, frame: TraceFrame, strict: bool, wide: bool):
         if not frame.aligned:
             raise ValueError("the samples grid takes a frame whose signals share their times (aligned=True)")
-        self.frame, self.strict, self.df, self.n = frame, strict, frame.rows, 0
+        self.frame, self.strict, self.wide, self.df, self.n = frame, strict, wide, frame.rows, 0
         self.exact = Exact(frame, method("constant"), "documented", strict)
         self.done: dict = {}
 
@@ -242,19 +242,25 @@ class Samples:
             return self.named(F.lead(args[0], node.steps).over(align.window()))
         if isinstance(node, ast.Until):
             return self.until(*args, node.interval)
-        return self.named(temporal.samples_window(args[0], "F" if isinstance(node, ast.Eventually) else "G", node.interval))
+        return self.window(args[0], "F" if isinstance(node, ast.Eventually) else "G", node.interval)
+
+    def window(self, c: Column, kind: str, interval: Interval) -> Column:
+        if not self.wide:
+            return self.named(temporal.samples_window(c, kind, interval))
+        self.n += 1
+        self.df = temporal.wide_window(self.df, c, kind, interval, f"n{self.n}")
+        return F.col(f"n{self.n}")
 
     def until(self, a: Column, b: Column, interval: Interval) -> Column:
         held, self.n = self.df.withColumns({"a": a, "b": b}), self.n + 1
         name = f"n{self.n}"
-        scanned = temporal.until_scan(held).withColumnRenamed("v", name)
-        self.df = held.drop("a", "b").join(scanned, ["trace", "t"])
+        self.df = temporal.until_scan(held, name).drop("a", "b")
         z = F.col(name)
         if interval.untimed:
             return z
-        soon = self.named(temporal.samples_window(b, "F", interval))
+        soon = self.window(b, "F", interval)
         if interval.a:
-            z = self.named(temporal.samples_window(z, "G", Interval(0, interval.a / 1e9)))
+            z = self.window(z, "G", Interval(0, interval.a / 1e9))
         return F.least(soon, z)
 
 
@@ -262,9 +268,10 @@ def _everywhere(frame: TraceFrame, v) -> DataFrame:
     return frame.rows.select("trace", "t", F.lit(v).alias("v"))
 
 
-def evaluate(spec, frame: TraceFrame, interpolation: str | Method = "linear", mode: str = "documented", grid: str = "exact", strict: bool = False):
+def evaluate(spec, frame: TraceFrame, interpolation: str | Method = "linear", mode: str = "documented", grid: str = "exact", strict: bool = False, wide: bool = False):
     """Robustness (or the value of a numeric expression) as a table trace, t, v, or a float where it is constant.
 
+    wide: on the samples grid, timed windows hold many samples each, hundreds or more; then the work of a row does not grow with its window.  The answers are the same.
     A trace that a signal is missing from, or whose signals or windows share no time, has no rows; rows with a null value are no samples.
     """
     if mode not in MODES or grid not in GRIDS:
@@ -273,7 +280,7 @@ def evaluate(spec, frame: TraceFrame, interpolation: str | Method = "linear", mo
     for name, kind in node.variables().items():
         frame.has(name, kind)
     if grid == "samples":
-        made = Samples(frame, strict)
+        made = Samples(frame, strict, wide)
         column = made.of(node)
         return made.df.select("trace", "t", column.alias("v")).where("v is not null")
     made = Exact(frame, method(interpolation), mode, strict)
@@ -286,15 +293,15 @@ def parse(spec):
     return parse_expr(spec) if isinstance(spec, str) else spec
 
 
-def robustness(spec, frame: TraceFrame, interpolation: str | Method = "linear", *, mode: str = "documented", grid: str = "exact") -> DataFrame:
+def robustness(spec, frame: TraceFrame, interpolation: str | Method = "linear", *, mode: str = "documented", grid: str = "exact", wide: bool = False) -> DataFrame:
     """trace, t, rob: how strongly a formula (text or node) holds; constant formulas have their value at every row of the frame."""
-    out = evaluate(spec, frame, interpolation, mode, grid)
+    out = evaluate(spec, frame, interpolation, mode, grid, wide=wide)
     return (out if align.is_table(out) else _everywhere(frame, out)).withColumnRenamed("v", "rob")
 
 
-def satisfaction(spec, frame: TraceFrame, interpolation: str | Method = "linear", *, mode: str = "documented", grid: str = "exact") -> DataFrame:
+def satisfaction(spec, frame: TraceFrame, interpolation: str | Method = "linear", *, mode: str = "documented", grid: str = "exact", wide: bool = False) -> DataFrame:
     """trace, t, sat: whether a formula holds, robustness being 0 or more; strict comparisons are strict unless observed."""
-    out = evaluate(spec, frame, interpolation, mode, grid, strict=mode == "documented")
+    out = evaluate(spec, frame, interpolation, mode, grid, strict=mode == "documented", wide=wide)
     if not align.is_table(out):
         return _everywhere(frame, out >= 0).withColumnRenamed("v", "sat")
     if grid == "samples":

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.interpolation import Method
 from ..plans.ast import Interval
@@ -83,33 +85,64 @@ def timed(s: DataFrame, kind: str, interval: Interval, how: Method) -> DataFrame
     if b is None:
         later = rows.select("trace", (F.col("t") - a).alias("t"), extremum(kind)("v").over(window(down=True).rowsBetween(UP, 0)).alias("v")).where("v is not null")
         return rows.where("g").select("trace", "t").join(later, ["trace", "t"]) if a else rows.where("g and v is not null").select("trace", "t").join(later, ["trace", "t"])
-    seen = extremum(kind)("v").over(window().rangeBetween(a, b))
-    return rows.withColumn("v", seen).where("g and v is not null").select("trace", "t", "v")
+    return rows.withColumn("v", _between(rows, "v", kind, a, b)).where("g and v is not null").select("trace", "t", "v")
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by trace, latest first: z = max(min(a, b), min(a, z of the row after)).  One number is carried, however long the trace."""
-    trace, z, first = None, 0.0, True
-    for batch in batches:
-        out = []
-        for k, a, b in zip(batch.column("trace").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            if first or k != trace:
-                trace, z, first = k, float("-inf"), False
-            z = max(min(a, b), min(a, z))
-            out.append(z)
-        yield pa.RecordBatch.from_arrays([batch.column("trace"), batch.column("t"), pa.array(out, pa.float64())], ["trace", "t", "v"])
-
+def _between(rows: DataFrame, name: str, kind: str, a: int, b: int) -> Column:
+    """The extremum of a column over the rows in [t + a, t + b], for the rows of which t + a and t + b are times of rows too.
 
-def until_scan(rows: DataFrame) -> DataFrame:
-    """(trace, t, a, b) -> a until b at each row, streamed backwards through each partition."""
-    schema = f"trace {rows.schema['trace'].dataType.simpleString()}, t long, v double"
-    ordered = rows.select("trace", "t", "a", "b").repartition("trace").sortWithinPartitions("trace", F.desc("t"))
-    return ordered.mapInArrow(_scanned, schema)
+    Time is cut into blocks of b - a, so a window is the end of one block and the start of the next: an extremum that runs backwards through the one and one that runs
+    forwards through the other, each read at one time.  So the cost of a row does not grow with its window, as that of a range frame does.
+    """
+    at = lambda c, by: F.max(c).over(window().rangeBetween(by, by))
+    if a == b:
+        return at(F.col(name), a)
+    block = Window.partitionBy("trace", F.floor(F.col("t") / (b - a)))
+    rest = extremum(kind)(name).over(block.orderBy(F.desc("t")).rangeBetween(UP, 0))
+    begun = extremum(kind)(name).over(block.orderBy("t").rangeBetween(UP, 0))
+    both = {"F": F.greatest, "G": F.least}[kind]
+    return both(at(rest, a), at(begun, b))
+
+
+def _scan(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """z[i] = max(low[i], min(high[i], z[i - 1])), from z[0] = low[0] on: clamps are composed over runs of doubling length."""
+    low, high = low.copy(), high.copy()
+    high[0] = low[0]
+    d = 1
+    while d < len(low):
+        low[d:], high[d:] = np.maximum(low[d:], np.minimum(high[d:], low[:-d])), np.maximum(low[d:], np.minimum(high[d:], high[:-d]))
+        d *= 2
+    return low
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by trace, latest first, each with z = max(min(a, b), min(a, z of the row after)).  One number is carried, however long the trace."""
+    trace, z = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("a", "b"))
+        own = batch.column("trace").dictionary_encode()
+        k = np.where(np.asarray(own.indices.is_null()), -1, own.indices.fill_null(0).to_numpy(zero_copy_only=False))
+        low, high = np.minimum(a, b), a.copy()
+        first = np.append(True, k[1:] != k[:-1])
+        if z is not None and batch.column("trace")[0].as_py() == trace:
+            low[0] = max(low[0], min(high[0], z))
+        high[first] = low[first]  # a clamp to one number is where a trace begins
+        out = _scan(low, high)
+        trace, z = batch.column("trace")[batch.num_rows - 1].as_py(), out[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
+
+
+def until_scan(rows: DataFrame, name: str = "v") -> DataFrame:
+    """rows (trace, t, a, b and any others) with a until b in a column of that name, streamed backwards through each partition; rows that repeat a time stay rows."""
+    ordered = rows.repartition("trace").sortWithinPartitions("trace", F.desc("t"))
+    return ordered.mapInArrow(lambda it: _scanned(it, name), T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def until(x: DataFrame, y: DataFrame, how: Method) -> DataFrame:
     rows = crossings(filled(together(a=x, b=y), ["a", "b"], how), F.col("a"), F.col("b"), how)
-    return until_scan(rows)
+    return until_scan(rows.select("trace", "t", "a", "b")).select("trace", "t", "v")
 
 
 def without_runs(s: DataFrame) -> DataFrame:
@@ -129,9 +162,24 @@ def as_truth(s: DataFrame, how: Method) -> DataFrame:
 
 
 def samples_window(column: Column, kind: str, interval: Interval) -> Column:
-    """G or F over the samples in [t + a, t + b] of a frame with one row per time: no grid, one window."""
+    """G or F over the samples in [t + a, t + b] of a frame with one row per time: no grid, one window.  The work of a row grows with its window; see wide_window."""
     if interval.untimed:
         return extremum(kind)(column).over(window(down=True).rowsBetween(UP, 0))
     if interval.b is None:
         return extremum(kind)(column).over(window(down=True).rangeBetween(UP, -interval.a))
     return extremum(kind)(column).over(window().rangeBetween(interval.a, interval.b))
+
+
+def wide_window(df: DataFrame, column: Column, kind: str, interval: Interval, name: str) -> DataFrame:
+    """df with samples_window() in a column of that name, by way of rows at both ends of each window, so that the work of a row does not grow with it.  Rows that repeat a time stay rows."""
+    if interval.b is None:
+        return df.withColumn(name, samples_window(column, kind, interval))
+    a, b = interval.a, interval.b
+    others = [c for c in df.columns if c not in ("trace", "t")]
+    own = F.struct(F.col("t").alias("t"), column.alias(name), F.struct(*others).alias("row"))
+    kinds = df.withColumn(name, column).schema
+    empty = F.lit(None).cast(T.StructType([kinds[c] for c in others])).alias("row")
+    ends = [F.struct((F.col("t") + by).alias("t"), F.lit(None).cast(kinds[name].dataType).alias(name), empty) for by in {a, b} - {0}]
+    rows = df.select("trace", F.explode(F.array(own, *ends)).alias("x")).select("trace", "x.*")
+    out = rows.withColumn(name, _between(rows, name, kind, a, b)).where("row is not null")
+    return out.select("trace", "t", *[F.col("row").getField(c).alias(c) for c in others], name)
