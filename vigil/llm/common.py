@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,7 +54,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def save(df: DataFrame, name: str, few: bool = False, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here.
 
     few: df is what shuffles have reduced; it is written by six tasks for each core of the cluster at most, whatever the number of shuffle partitions.
@@ -62,10 +63,16 @@ def save(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     path = new_path(spark, name)
     if few:
         df = df.coalesce(6 * spark.sparkContext.defaultParallelism)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffles of tables that are written: it does so once the driver's collector has found them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Queries that are collected inside leave no shuffle files once they end."""
