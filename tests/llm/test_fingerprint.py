@@ -29,6 +29,19 @@ def test_blocks_do_not_show(monkeypatch):
     assert fp.fingerprint(text)[0] == whole
 
 
+def shared(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_extension_over_blocks(monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 700)
+    a = prose(2000, 5)
+    for cut in (0, 1, 255, 256, 257, 1279, 1280, 1281, 5000, len(a)):
+        assert fp.extension(a, 0, a[:cut] + "#" + a[cut:], 0) == cut
+        assert fp.extension(a, 3, "xy" + a[3:cut], 2) == max(0, cut - 3)
+    assert fp.extension(a, 0, a, 0) == len(a) and fp.extension("", 0, a, 0) == 0 and fp.extension(a, len(a), a, 0) == 0
+
+
 def brute(docs):
     """docs by descending id (None last, ties by hash of the text are not told apart)."""
     out = []
@@ -37,12 +50,13 @@ def brute(docs):
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
         (m, a), (x, b), (_, c) = fp.fingerprint(t), fp.fingerprint(e), fp.fingerprint(n)
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), m, x, fp.likeness(a, b), fp.likeness(a, c)))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), m, x, fp.likeness(a, b), fp.likeness(a, c), shared(t, e), shared(t, n)))
     return out
 
 
 def test_neighbours(spark):
     docs = [(i * 3, prose(5 + i % 40, i // 2)) for i in range(300)]
+    docs[7:9] = [(21, docs[6][1] + " more"), (24, docs[6][1])]
     for rows, parts in ((docs, 7), (docs[:1], 1), (docs[:2], 2)):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         got = sorted(map(tuple, fp.fingerprints(df, per_bucket=20).collect()))

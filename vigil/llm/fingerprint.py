@@ -94,6 +94,18 @@ class PrefixHash:
         return bisect.bisect_left(range(1, most + 1), True, key=lambda k: not self.equal(start, other, at, k))
 
 
+def extension(a: str, start: int, b: str, at: int) -> int:
+    """How many code points of a from start on equal those of b from at on.  Blocks that grow to BLOCK are compared by their prefix hashes, so that the work follows the answer."""
+    k, width = 0, 256
+    while min(len(a) - start, len(b) - at) > k:
+        found = PrefixHash(a[start + k : start + k + width]).extension(0, PrefixHash(b[at + k : at + k + width]), 0)
+        k += found
+        if found < width:
+            break
+        width = min(4 * width, BLOCK)
+    return k
+
+
 def _least(h: np.ndarray) -> np.ndarray:
     """The KEEP smallest distinct hashes after mixing."""
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +155,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], splits: list[int], guests: dict[in
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "guest", "key", "doc_id", "h", "size", "body"])
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("same_edited", pa.int64()), ("same_next", pa.int64())])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +171,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last is not None and last[0] == bucket:
                 _, d, old, (mark, least) = last
                 half = len(old) // 2
-                edited = old[: len(old) - half] + text[:half]
+                stays = len(old) - half
+                edited = old[:stays] + text[:half]
                 changed = fingerprint(edited)
-                out.append((d, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, changed[0], likeness(least, changed[1]), likeness(least, own[1])))
+                out.append((d, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, changed[0], likeness(least, changed[1]), likeness(least, own[1]), stays + extension(old, stays, text, 0), extension(old, 0, text, 0)))
             last = None if guest else (bucket, doc_id, text, own)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), OUT, strict=True)], schema=OUT)
@@ -171,6 +184,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     """One row per row of docs (doc_id, text): n_chars, fingerprint, and the likeness to the next document
     (descending doc_id, after the last the first) and to the text whose last half is replaced by the next one's start.
+    same_edited and same_next: how many code points from the start the text shares with either, by the longest common extension.
 
     Null text is empty; equal texts have equal fingerprints; rows that share a doc_id follow each other by a hash of
     their texts; null ids come last.  Texts go through one shuffle, compressed, to buckets of neighbouring ids; the
@@ -187,7 +201,7 @@ def fingerprints(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     guests = {key: heads[(i + 1) % len(heads)][0] for i, (_, key) in enumerate(heads)}
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _dealt(it, splits, guests), "bucket long, guest long, key long, doc_id long, h long, size long, body binary")
     ordered = dealt.repartition(wanted, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "h")
-    return ordered.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long")
 
 
 def common_extension(pairs: DataFrame, a: str, b: str, start: str, at: str, out: str = "extension") -> DataFrame:
@@ -195,6 +209,6 @@ def common_extension(pairs: DataFrame, a: str, b: str, start: str, at: str, out:
 
     @F.pandas_udf("long")
     def lce(x: pd.Series, y: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None or pd.isna(s) or pd.isna(t) else PrefixHash(p).extension(int(s), PrefixHash(q), int(t)) for p, q, s, t in zip(x, y, i, j, strict=True)], dtype="Int64")
+        return pd.Series([None if p is None or q is None or pd.isna(s) or pd.isna(t) else extension(p, int(s), q, int(t)) for p, q, s, t in zip(x, y, i, j, strict=True)], dtype="Int64")
 
     return pairs.withColumn(out, lce(a, b, start, at))
