@@ -65,7 +65,22 @@ def op10_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.perplexities(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_minhash, op4_quality, op5_lines, op6_decontam, op7_tokens, op8_chat, op9_fingerprint, op10_kneser)}
+def mixing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1_mixing what SQL can express: sizes and targets."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9_fingerprint what SQL can express: lengths, edited texts and where texts cease to be equal."""
+    return op9_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", "same_edited", "same_next")
+
+
+def kneser_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10_kneser what SQL can express: folds, counts and the unigram score."""
+    return op10_kneser(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_minhash, op4_quality, op5_lines, op6_decontam, op7_tokens, op8_chat, op9_fingerprint, op10_kneser, mixing_sizes, fingerprint_edits, kneser_base)}
 _BLANK = r"[\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -111,5 +126,36 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 sum({len(chat.TURN) + len(chat.END) + 1} + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}'))) AS formatted_chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM a"""
 
+#: The k-th source stops at its cap if the level that the sources before it leave is above its own.
+_SIZES_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(list_filter(string_split_regex(text, '{_BLANK}'), lambda x: x <> '')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, 3.0::DOUBLE * sum(size) AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+o AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS capped, coalesce(sum(w) OVER b, 0) AS gone, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k
+FROM s WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT arg_min((total - capped) / (all_w - gone), k) AS level FROM o WHERE (total - capped) / (all_w - gone) <= cap / w)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(least(cap, coalesce(level, 0) * w), 3) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, t"""
+
+
+def _shared(a: str, b: str) -> str:
+    """SQL for the number of code points that two texts below 2^25 share from the start."""
+    longer = f"left({a}, k + step) = left({b}, k + step) AND k + step <= least(length({a}), length({b}))"
+    return f"list_reduce(list_prepend(0, list_transform(range(25), lambda i: 16777216 >> i)), lambda k, step: CASE WHEN {longer} THEN k + step ELSE k END)"
+
+
+_EDITS_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM d),
+e AS (SELECT *, left(text, n - n // 2) || left(next, n // 2) AS edited FROM n)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+CAST({_shared("text", "edited")} AS BIGINT) AS same_edited, CAST({_shared("text", "next")} AS BIGINT) AS same_next FROM e"""
+
+#: CRC-32 of the id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) for i in range(8)]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), CAST(4294967295 AS BIGINT))"""
+_BASE_SQL = f"""WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(list_transform(list_filter(string_split_regex(coalesce({_LOWER}, ''), '{_BLANK}'), lambda x: x <> ''), lambda x: 'w' || x), 'end') AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + 1.0::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id"""
+
 #: The others rest on hashes, permutations, dynamic programming or fitted models; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_secrets": _secret_sql(), "op3_minhash": _MINHASH_SQL, "op8_chat": _CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": _secret_sql(), "op3_minhash": _MINHASH_SQL, "op8_chat": _CHAT_SQL, "mixing_sizes": _SIZES_SQL, "fingerprint_edits": _EDITS_SQL, "kneser_base": _BASE_SQL}
