@@ -8,6 +8,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +55,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Where save() has written what it returned.
+_saved: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def save(df: DataFrame, name: str, few: bool = False, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here.
 
@@ -64,7 +69,15 @@ def save(df: DataFrame, name: str, few: bool = False, codec: str = "snappy") ->
     if few:
         df = df.coalesce(6 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _saved[out] = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Delete tables that save() returned.  All that reads them has to be written by then: a lost executor could not read them again."""
+    for saved in tables:
+        remove(saved.sparkSession, _saved.pop(saved))
 
 
 def release(spark: SparkSession) -> None:

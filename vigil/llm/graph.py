@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import erase, save
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,10 +29,11 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (node, component), the component being the least node that can be reached.
 
-    Nodes without a link are not returned; self links, repeats and links with a null count for nothing.  Each round is written to the shared folder.
+    Nodes without a link are not returned; self links, repeats and links with a null count for nothing.  Each round is written to the shared folder, in place of the one before.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", few=True)
     while not _settled(now):
-        now = save(_star(_star(now, True), False), "stars", few=True)
+        before, now = now, save(_star(_star(now, True), False), "stars", few=True)
+        erase(before)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
