@@ -1,9 +1,12 @@
 import math
+import os
 import random
+import tracemalloc
 
 from llm_helpers import ODD, prose
 from pyspark.sql import functions as F
 
+from vigil.llm.common import local_path, save
 from vigil.llm.quality import accepted, classify
 
 
@@ -98,3 +101,26 @@ def test_odd_rows(odd, none, spark):
         assert len(got) == len(ODD) and all(r["kept"] for r in got)
         assert classify(sited(none), labels).count() == 0
         assert accepted(odd, labels).columns == odd.columns
+
+
+def test_the_driver_holds_numbers_not_objects(spark):
+    """The sample's features, some 320 of each of 600 documents, come to the driver as columns of numbers."""
+    r = random.Random(3)
+    kinds = [[f"{a}{i:03d}" for i in range(400)] for a in "gb"]
+    docs = spark.createDataFrame([(i, "h", "p", " ".join(r.sample(kinds[i % 2], 320))) for i in range(600)], "doc_id long, host string, path string, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(600)], LABELS)
+    tracemalloc.start()
+    try:
+        found = classify(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(x["kept"] == (x["doc_id"] % 2 == 0) for x in found.collect())
+    assert most < 14 << 20
+
+
+def test_saved_tables_have_no_mark_of_success(spark):
+    """The driver starts processes to write one, each of which may count its memory anew."""
+    at = save(spark.range(3), "unmarked")
+    assert sorted(x.id for x in at.collect()) == [0, 1, 2]
+    assert not any(x.startswith("_") for x in os.listdir(local_path(os.path.dirname(at.inputFiles()[0]))))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,16 +94,15 @@ def _telling(sample: DataFrame, head: str, most: int | None) -> dict[int, float]
     return {r["f"]: r["z"] for r in (found if most is None else found.limit(most)).collect()}
 
 
-def _fit(rows: list[list[int]], z: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Weights of the features, which stand out by z deviations, and a bias: logistic regression on the whole sample, by Adam."""
+def _fit(row: np.ndarray, col: np.ndarray, z: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Weights of the features, which stand out by z deviations, and a bias: logistic regression on the whole sample, by Adam.  Document row[i] has feature col[i]."""
     size, ridge = len(z), RIDGE * np.maximum(1, CLEAR / np.maximum(z, DEVIATIONS / 2)) ** POWER
     if not 0 < y.sum() < len(y):
         return np.append(np.zeros(size), STRONG if len(y) and y.all() else -STRONG)
-    row, col = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.array([f for r in rows for f in r], np.int64)
     v, b = np.zeros(size), np.log(y.mean() / (1 - y.mean()))
     m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, v[col], len(rows)) + b
+        z = np.bincount(row, v[col], len(y)) + b
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         g, gb = np.bincount(col, err[row], size) + ridge * v, err.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
@@ -166,9 +166,13 @@ def _classified(docs: DataFrame, labels: DataFrame, sample: int, most_features:
     numbers = {f: i for i, f in enumerate(dict.fromkeys(f for h in HEADS for f in telling[h]))}
     chosen = docs.sparkSession.createDataFrame([(f, i) for f, i in numbers.items()], "f long, i int")
     found = fitted.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(chosen), "f").groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("own"))
-    rows = sorted(fitted.select("doc_id", *HEADS).join(found, "doc_id", "left").collect(), key=lambda r: r["doc_id"])
-    own = [r["own"] or [] for r in rows]
-    weights = np.stack([_fit(own, np.array([telling[h].get(f, 0.0) for f in numbers]), np.array([r[h] for r in rows])) for h in HEADS], axis=1)
+    # Arrow columns, not rows: the features of the sample are millions of numbers, each of which would be a Python object on the driver.
+    rows = fitted.select("doc_id", *HEADS).join(found, "doc_id", "left").toArrow().sort_by("doc_id").combine_chunks()
+    own = pc.fill_null(pc.list_value_length(rows["own"]), 0).to_numpy()
+    row, col = np.repeat(np.arange(len(own), dtype=np.int32), own), pc.list_flatten(rows["own"]).to_numpy()
+    weights = np.stack([_fit(row, col, np.array([telling[h].get(f, 0.0) for f in numbers]), rows[h].to_numpy()) for h in HEADS], axis=1)
+    del rows, row, col, found, telling
+    pa.default_memory_pool().release_unused()
     scores = save(docs.select("doc_id", "row", "host", "path", "text").mapInArrow(lambda it: _scored(it, numbers, weights), "doc_id long, row long, host string, path string, z_low double, z_toxic double"), "quality")
     sums = [e for h in HEADS for e in (F.sum(_p(F.col(f"z_{h}"))).alias(f"s_{h}"), F.sum(_p(F.col(f"z_{h}")) ** 2).alias(f"q_{h}"))]
     paths = save(scores.groupBy("host", "path").agg(F.count("*").alias("n"), *sums), "paths")
