@@ -13,10 +13,16 @@ HAIR = -5e-324
 
 
 def divide(a: Column, b: Column) -> Column:
-    """a / b; division by zero is infinite, or not a number for 0 / 0.  The sign of a zero divisor counts."""
+    """a / b; division by zero is infinite, or not a number for 0 / 0.  The sign of a zero divisor counts.  Null if either is."""
     sign = F.when(b.cast("string").startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.when(a > 0, F.lit(INF)).otherwise(F.lit(-INF)) * sign)
-    return F.when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
+    return F.when((b == 0) & a.isNotNull(), by_zero).otherwise(a / F.when(b != 0, b))
+
+
+def exceeds(a: Column, b: Column | float) -> Column:
+    """a > b by IEEE 754: false where either is not a number, which Spark orders last."""
+    b = b if isinstance(b, Column) else F.lit(b)
+    return (a > b) & ~F.isnan(a) & ~F.isnan(b)
 
 
 def power(a: Column, b: Column) -> Column:
