@@ -16,6 +16,11 @@ from ..functions.interpolation import Held, Method
 UP = Window.unboundedPreceding
 
 
+def by_trace(df: DataFrame, parts: int | None) -> DataFrame:
+    """df in so many partitions by trace; None leaves their number to Spark, which merges them by their compressed size."""
+    return df.repartition(parts, "trace") if parts else df.repartition("trace")
+
+
 def window(*, down: bool = False):
     return Window.partitionBy("trace").orderBy(F.desc("t") if down else "t")
 
@@ -50,16 +55,16 @@ def _method(how: Method, kind: str) -> Method:
     return Held() if kind == "boolean" and how.name == "linear" else how
 
 
-def together(**tables: DataFrame) -> DataFrame:
+def together(parts: int | None = None, /, **tables: DataFrame) -> DataFrame:
     """trace, t and a column for each table, one row for each time that any of them has."""
-    parts, names = [], list(tables)
+    some, names = [], list(tables)
     for n, s in tables.items():
         kinds = {m: dict(tables[m].dtypes)["v"] for m in names}
-        parts.append(s.select("trace", "t", *[(F.col("v") if m == n else F.lit(None).cast(kinds[m])).alias(m) for m in names]))
-    out = parts[0]
-    for p in parts[1:]:
+        some.append(s.select("trace", "t", *[(F.col("v") if m == n else F.lit(None).cast(kinds[m])).alias(m) for m in names]))
+    out = some[0]
+    for p in some[1:]:
         out = out.unionByName(p)
-    return out.repartition("trace").groupBy("trace", "t").agg(*[F.max(n).alias(n) for n in names])
+    return by_trace(out, parts).groupBy("trace", "t").agg(*[F.max(n).alias(n) for n in names])
 
 
 def filled(df: DataFrame, names: list[str], how: Method, *, clip: bool = True) -> DataFrame:
@@ -74,10 +79,10 @@ def filled(df: DataFrame, names: list[str], how: Method, *, clip: bool = True) -
     return df.select("trace", "t", *[v.alias(n) for n, v in values.items()])
 
 
-def interpolate_at(s: DataFrame, probes: DataFrame, how: Method) -> DataFrame:
+def interpolate_at(s: DataFrame, probes: DataFrame, how: Method, parts: int | None = None) -> DataFrame:
     """The value at each probe (trace, t), clamped outside the samples; traces without samples give no rows.  An as-of join by union and windows."""
     marked = s.select("trace", "t", "v", F.lit(0).alias("probe")).unionByName(probes.select("trace", "t", F.lit(None).cast(dict(s.dtypes)["v"]).alias("v"), F.lit(1).alias("probe")))
-    rows = marked.repartition("trace").groupBy("trace", "t").agg(F.max("v").alias("v"), F.max("probe").alias("probe"))
+    rows = by_trace(marked, parts).groupBy("trace", "t").agg(F.max("v").alias("v"), F.max("probe").alias("probe"))
     kind = dict(s.dtypes)["v"]
     rows = _around(rows, "v").where("probe = 1 and (p_v is not null or q_v is not null)")
     return rows.select("trace", "t", _method(how, kind).at(F.col("p_v"), F.col("q_v"), F.col("t")).cast(kind).alias("v"))
@@ -125,12 +130,12 @@ def unary(s: Sig, f: Callable[[Column], Column], constant: Callable) -> Sig:
     return s.select("trace", "t", f(F.col("v")).alias("v")) if is_table(s) else constant(s)
 
 
-def binary(x: Sig, y: Sig, f: Callable[[Column, Column], Column], constant: Callable, how: Method, cross: bool) -> Sig:
+def binary(x: Sig, y: Sig, f: Callable[[Column, Column], Column], constant: Callable, how: Method, cross: bool, parts: int | None = None) -> Sig:
     """f of two signals over the times of both, with cross also where they change order.  Constants are folded or become literals."""
     if not is_table(x) and not is_table(y):
         return constant(x, y)
     if is_table(x) and is_table(y):
-        rows = filled(together(a=x, b=y), ["a", "b"], how)
+        rows = filled(together(parts, a=x, b=y), ["a", "b"], how)
         a, b = F.col("a"), F.col("b")
     else:
         rows = (x if is_table(x) else y).select("trace", "t", F.col("v").alias("a" if is_table(x) else "b"))

@@ -95,7 +95,10 @@ class Exact:
                 return Point(f(a, b), jumps)
             rows = self.frame.rows.select("trace", "t", a.alias("a"), b.alias("b"))
             return align.crossings(rows, F.col("a"), F.col("b"), self.how).select("trace", "t", f(F.col("a"), F.col("b")).alias("v"))
-        return align.binary(self.table(x), self.table(y), f, g, self.how, cross)
+        return self.aligned(self.table(x), self.table(y), f, g, cross)
+
+    def aligned(self, x, y, f, g, cross: bool):
+        return align.binary(x, y, f, g, self.how, cross, self.frame.parts() if align.is_table(x) and align.is_table(y) else None)
 
     def number(self, node):
         if isinstance(node, ast._ConstNum):
@@ -171,7 +174,7 @@ class Exact:
         if interval.untimed:
             return temporal.untimed(x, kind, self.how)
         if self.mode == "documented":
-            return temporal.timed(x, kind, interval, self.how)
+            return temporal.timed(x, kind, interval, self.how, self.frame.parts())
         return self.observed(x, kind, interval)
 
     def observed(self, x: DataFrame, kind: str, interval: Interval) -> DataFrame:
@@ -195,7 +198,7 @@ class Exact:
         flat = y if not align.is_table(y) else None
         if flat is not None:
             y = x.select("trace", "t", F.lit(y).alias("v"))
-        z = temporal.until(x, y, self.how)
+        z = temporal.until(x, y, self.how, self.frame.parts())
         if self.mode == "observed":
             z = temporal.without_runs(z)
         if interval.untimed:
@@ -203,7 +206,7 @@ class Exact:
         soon = self.window(y if flat is None else flat, "F", interval)
         if interval.a:
             z = self.window(z, "G", Interval(0, interval.a / 1e9))
-        return align.binary(soon, z, F.least, min, self.how, True)
+        return self.aligned(soon, z, F.least, min, True)
 
 
 class Samples:

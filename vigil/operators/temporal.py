@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.interpolation import Method
 from ..plans.ast import Interval
-from .align import UP, crossings, filled, interpolate_at, together, window
+from .align import UP, by_trace, crossings, filled, interpolate_at, together, window
 
 
 def extremum(kind: str):
@@ -68,16 +68,16 @@ def _grid(rows: DataFrame, a: int, b: int | None) -> DataFrame:
     return points.select("trace", F.explode(F.array_distinct(F.array_compact(F.array("t", "m")))).alias("t"))
 
 
-def timed(s: DataFrame, kind: str, interval: Interval, how: Method) -> DataFrame:
+def timed(s: DataFrame, kind: str, interval: Interval, how: Method, parts: int | None = None) -> DataFrame:
     """G or F over [t + a, t + b], exact at the times returned.  A window that passes the end of the trace is cut there; the domain ends at end - a."""
     a, b = interval.a, interval.b
     ends = Window.partitionBy("trace")
-    signal = zero_crossings(s, how).repartition("trace")
+    signal = zero_crossings(by_trace(s, parts), how)
     grid = _grid(signal.withColumns({"first": F.min("t").over(ends), "last": F.max("t").over(ends)}), a, b).withColumn("g", F.lit(1))
     probes = F.array_distinct(F.array_compact(F.array(F.col("t"), F.col("t") + a, *([F.col("t") + b] if b is not None else []))))
     asked = grid.select("trace", F.col("t").alias("g"), F.explode(probes).alias("t")).select("trace", "t", (F.col("g") == F.col("t")).alias("g"))
     rows = signal.select("trace", "t", "v", F.lit(False).alias("g")).unionByName(asked.select("trace", "t", F.lit(None).cast("double").alias("v"), "g"))
-    rows = rows.repartition("trace").groupBy("trace", "t").agg(F.max("v").alias("v"), F.max("g").alias("g"))
+    rows = by_trace(rows, parts).groupBy("trace", "t").agg(F.max("v").alias("v"), F.max("g").alias("g"))
     here = F.when(F.col("v").isNotNull(), F.struct(F.col("t").alias("t"), F.col("v").alias("v")))
     rows = rows.withColumns({"p": F.last(here, True).over(window().rowsBetween(UP, 0)), "q": F.last(here, True).over(window(down=True).rowsBetween(UP, 0))})
     inside = F.col("p").isNotNull() & F.col("q").isNotNull()
@@ -134,15 +134,15 @@ def _scanned(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
 
-def until_scan(rows: DataFrame, name: str = "v") -> DataFrame:
+def until_scan(rows: DataFrame, name: str = "v", parts: int | None = None) -> DataFrame:
     """rows (trace, t, a, b and any others) with a until b in a column of that name, streamed backwards through each partition; rows that repeat a time stay rows."""
-    ordered = rows.repartition("trace").sortWithinPartitions("trace", F.desc("t"))
+    ordered = by_trace(rows, parts).sortWithinPartitions("trace", F.desc("t"))
     return ordered.mapInArrow(lambda it: _scanned(it, name), T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def until(x: DataFrame, y: DataFrame, how: Method) -> DataFrame:
-    rows = crossings(filled(together(a=x, b=y), ["a", "b"], how), F.col("a"), F.col("b"), how)
-    return until_scan(rows.select("trace", "t", "a", "b")).select("trace", "t", "v")
+def until(x: DataFrame, y: DataFrame, how: Method, parts: int | None = None) -> DataFrame:
+    rows = crossings(filled(together(parts, a=x, b=y), ["a", "b"], how), F.col("a"), F.col("b"), how)
+    return until_scan(rows.select("trace", "t", "a", "b"), parts=parts).select("trace", "t", "v")
 
 
 def without_runs(s: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from ..types import NS, dtype
 from .signals import Signal, Trace
 
 KEYS = ["trace", "t"]
+#: Rows of a frame to a partition of what follows signals between samples; each may become eight there, sorted several times in one task.
+ROWS = 1 << 15
 
 
 def time_ns(df: DataFrame, column: str) -> Column:
@@ -55,6 +57,15 @@ class TraceFrame:
         self.rows = self.df.select(F.col(self.trace).alias("trace"), at.alias("t"), *[c.alias(f"s_{i}") for i, c in enumerate(columns.values())])
         self.places = {n: f"s_{i}" for i, n in enumerate(columns)}
         self._tables: dict[str, DataFrame] = {}
+        self._parts: int | None = None
+
+    def parts(self) -> int:
+        """Partitions by trace that hold about ROWS rows each, however many rows there are; rows are counted once, which takes only the footers of Parquet files."""
+        if self._parts is None:
+            spark = self.df.sparkSession
+            least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+            self._parts = max(least, -(-self.df.count() // ROWS), 1)
+        return self._parts
 
     def kind(self, name: str) -> dtype | None:
         found = self.signals.get(name) or self.constants.get(name)
