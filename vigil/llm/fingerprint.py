@@ -27,13 +27,18 @@ BASES = (1_103_515_245, 1_664_525_017)
 #: Code points hashed at once, code points of a span, span hashes that a fingerprint keeps, their bits.
 BLOCK, WIDTH, KEEP, BITS = 1 << 18, 8, 32, 40
 LEAST = -(1 << 63)
+#: Code points of a common extension that are compared one by one.
+HEAD = 32
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """x mod P for x below 2**63, without division."""
-    x = (x & P) + (x >> 31)
-    x = (x & P) + (x >> 31)
-    return np.where(x >= P, x - P, x)
+    for _ in range(2):
+        high = x >> 31
+        x = x & P
+        x += high
+    x -= (x >= P) * np.uint64(P)
+    return x
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -95,7 +100,9 @@ class PrefixHash:
 
 
 def extension(a: str, start: int, b: str, at: int) -> int:
-    """How many code points of a from start on equal those of b from at on.  Blocks that grow to BLOCK are compared by their prefix hashes, so that the work follows the answer."""
+    """How many code points of a from start on equal those of b from at on.  Blocks that grow to BLOCK are compared by their prefix hashes, so that the work follows the answer; the first HEAD as they are."""
+    if a[start : start + HEAD] != b[at : at + HEAD]:
+        return next((k for k, (x, y) in enumerate(zip(a[start : start + HEAD], b[at : at + HEAD])) if x != y), max(0, min(HEAD, len(a) - start, len(b) - at)))
     k, width = 0, 256
     while min(len(a) - start, len(b) - at) > k:
         found = PrefixHash(a[start + k : start + k + width]).extension(0, PrefixHash(b[at + k : at + k + width]), 0)
@@ -158,8 +165,12 @@ def _dealt(batches: Iterator[pa.RecordBatch], splits: list[int], guests: dict[in
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("same_edited", pa.int64()), ("same_next", pa.int64())])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket, own rows before guests, key descending."""
+#: The columns that no fingerprint is needed for.
+PLAIN = [OUT.get_field_index(c) for c in ("doc_id", "n_chars", "edited_sha256", "same_edited", "same_next")]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], marks: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket, own rows before guests, key descending.  Without marks, the PLAIN columns."""
     last: tuple | None = None
     out: list[tuple] = []
     for batch in batches:
@@ -167,21 +178,25 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if guest and (last is None or last[0] != bucket):
                 continue
             text = pa.decompress(body, size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
-            own = fingerprint(text)
+            own = fingerprint(text) if marks else None
             if last is not None and last[0] == bucket:
-                _, d, old, (mark, least) = last
+                _, d, old, before = last
                 half = len(old) // 2
                 stays = len(old) - half
                 edited = old[:stays] + text[:half]
-                changed = fingerprint(edited)
-                out.append((d, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, changed[0], likeness(least, changed[1]), likeness(least, own[1]), stays + extension(old, stays, text, 0), extension(old, 0, text, 0)))
+                likes = []
+                if marks:
+                    (mark, least), changed = before, fingerprint(edited)
+                    likes = [mark, changed[0], likeness(least, changed[1]), likeness(least, own[1])]
+                out.append((d, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *likes, stays + extension(old, stays, text, 0), extension(old, 0, text, 0)))
             last = None if guest else (bucket, doc_id, text, own)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), OUT, strict=True)], schema=OUT)
+            schema = OUT if marks else pa.schema([OUT.field(i) for i in PLAIN])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
             out = []
 
 
-def fingerprints(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
+def fingerprints(docs: DataFrame, per_bucket: int = 4096, *, marks: bool = True) -> DataFrame:
     """One row per row of docs (doc_id, text): n_chars, fingerprint, and the likeness to the next document
     (descending doc_id, after the last the first) and to the text whose last half is replaced by the next one's start.
     same_edited and same_next: how many code points from the start the text shares with either, by the longest common extension.
@@ -189,7 +204,7 @@ def fingerprints(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     Null text is empty; equal texts have equal fingerprints; rows that share a doc_id follow each other by a hash of
     their texts; null ids come last.  Texts go through one shuffle, compressed, to buckets of neighbouring ids; the
     first document of a bucket is copied into the bucket before it.  The driver sees the bounds and the first id of each bucket only.
-    An empty table gives no rows.
+    An empty table gives no rows.  marks=False leaves out fingerprints and likeness, which are most of the work, for all rows.
     """
     spark = slim(docs).sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
@@ -200,8 +215,10 @@ def fingerprints(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     heads = sorted((r["bucket"], r["key"]) for r in ids.groupBy(bucket("key").alias("bucket")).agg(F.max("key").alias("key")).collect())
     guests = {key: heads[(i + 1) % len(heads)][0] for i, (_, key) in enumerate(heads)}
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _dealt(it, splits, guests), "bucket long, guest long, key long, doc_id long, h long, size long, body binary")
-    ordered = dealt.repartition(wanted, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "h")
-    return ordered.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long")
+    # Each bucket is a partition: by a hash of their numbers some partitions would hold several buckets, and as many none.
+    ordered = dealt.repartitionById(wanted, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.desc("key"), "h")
+    kinds = ["doc_id long", "n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double", "same_edited long", "same_next long"]
+    return ordered.mapInArrow(lambda it: _compared(it, marks), ", ".join(kinds if marks else [kinds[i] for i in PLAIN]))
 
 
 def common_extension(pairs: DataFrame, a: str, b: str, start: str, at: str, out: str = "extension") -> DataFrame:
